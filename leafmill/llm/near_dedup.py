@@ -6,7 +6,7 @@ is filled, whatever the set's size. Bands of the sketch name candidates; links c
 
 No pair list grows with the square of a bucket. A bucket first links its members to one pivot. Members that end in
 one component need no further test; only where a bucket still spans components are pairs across components made:
-directly for small buckets, and for larger ones through an exact prefix filter over rarest-first shingles.
+directly for small buckets, and for larger ones through an exact prefix filter over the differences from the pivot.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, Words, blocks, mix, prepare, shingles, signed
@@ -67,6 +67,15 @@ def _sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
 
 
 IS_SPACE_NOT = ~IS_SPACE
+#: 64-bit words of a set's parity: bit i is the parity of its elements with hash i. Those of two sets differ in no more bits than the sets in elements.
+PARITY = 16
+
+
+def _may_link(p: str, q: str, num: int, den: int) -> Column:
+    """False only for sets that cannot be so similar, by size or parity; columns n and parity of p and q."""
+    bits = sum((F.bit_count(F.get(f"{p}parity", F.lit(i)).bitwiseXOR(F.get(f"{q}parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    sizes = F.col(f"{p}n") + F.col(f"{q}n")
+    return (den * F.least(f"{p}n", f"{q}n") >= num * F.greatest(f"{p}n", f"{q}n")) & ((den + num) * bits <= (den - num) * sizes)
 
 
 def _sketched(k: int, bands: int, rows: int):
@@ -101,7 +110,9 @@ def _set_rows(k: int):
             for sets in _sets(batch.column(1), k):
                 sizes = [len(s) for s in sets]
                 values = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                yield pa.record_batch([batch.column(0).slice(row, len(sets)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))], names=["node", "n", "shingles"])
+                bits = [np.packbits((np.bincount(s & np.uint64(64 * PARITY - 1), minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+                lists = lambda n, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x))
+                yield pa.record_batch([batch.column(0).slice(row, len(sets)), pa.array(sizes, pa.int64()), lists([PARITY] * len(sets), np.concatenate([*bits, np.zeros(0, np.int64)])), lists(sizes, values)], names=["node", "n", "parity", "shingles"])
                 row += len(sets)
 
     return run
@@ -109,29 +120,51 @@ def _set_rows(k: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b), those with den * intersection >= num * union, counted on the full sets."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
-    joined = near.join(left, "a").join(right, "b")
+    small = sets.select("node", "n", "parity")
+    near = pairs.join(small.toDF("a", "a_n", "a_parity"), "a").join(small.toDF("b", "b_n", "b_parity"), "b").filter(_may_link("a_", "b_", num, den)).select("a", "b", "a_n", "b_n")
+    full = sets.select("node", "shingles")
+    joined = near.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return joined.select("a", "b", "na", "nb", both.alias("both")).filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return joined.select("a", "b", "a_n", "b_n", both.alias("both")).filter(den * F.col("both") >= num * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b")
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs across labels for members (node, label), complete for the similarity num / den.
+def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """For members (pivot, node, label) that were all tested against their pivot: pairs across labels that may link; complete as to components.
 
-    Sets ordered rarest first: two sets that similar share one of their first n - ceil(num * n / den) + 1 elements.
+    Let c = (den - num) / (den + num): X and Y link if |X - Y| + |Y - X| <= c (|X| + |Y|). Take each set's difference D from the
+    pivot P. If |D(X)| + |D(Y)| <= c (|X| + |Y|) they link for certain; then one of them is in the pivot's component, and a test with the
+    best placed member of it does for all. Otherwise they share at least (|D(X)| + |D(Y)| - c (|X| + |Y|)) / 2 elements of
+    their differences, so that they meet in prefixes of these, rarest first. What a group's copies have in common is no
+    part of the differences; hence a large group of copies that are close, but not close enough, makes few pairs.
     """
-    own = members.join(sets, "node").select("node", "label", "n", F.explode("shingles").alias("x"))
-    often = own.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1").checkpoint()
-    # elements that only one set has can't be shared; they only take up places at the front of a prefix
-    ranked = own.join(often, "x").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
-    places = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1
-    front = ranked.select("node", "label", "n", F.explode(F.slice("xs", 1, F.greatest(F.lit(0), places - (F.col("n") - F.size("xs"))).cast("int"))).alias("e")).select("node", "label", "n", F.col("e.x").alias("x")).checkpoint()
-    mixed = front.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("x").checkpoint()
-    side = front.join(mixed, "x").checkpoint()
-    a, b = side.alias("p"), side.alias("q")
-    across = (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & (den * F.least("p.n", "q.n") >= num * F.greatest("p.n", "q.n"))
-    return a.join(b, (F.col("p.x") == F.col("q.x")) & across).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    c, ratio = (den - num) / (den + num), num / den
+    heads, own = sets.select(F.col("node").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), sets
+    apart = members.join(own, "node").join(heads, "pivot").select("pivot", "node", "label", "n", "np", "parity", F.concat(F.array_except("shingles", "sp"), F.array_except("sp", "shingles")).alias("d"))
+    apart = apart.withColumn("m", F.size("d").cast("double")).checkpoint()
+    home = members.filter("node = pivot").select("pivot", F.col("label").alias("home")).distinct().checkpoint()
+    placed = apart.select("pivot", "node", "label", "n", "m").join(home, "pivot").checkpoint()
+    best = placed.filter("label = home").groupBy("pivot").agg(F.max(F.struct((c * F.col("n") - F.col("m")).alias("room"), F.col("node").alias("b"))).alias("best")).checkpoint()
+    sure = placed.filter("label != home").join(best, "pivot").filter(F.col("m") <= c * F.col("n") + F.col("best.room") + 1e-6).select(F.col("node").alias("x"), F.col("best.b").alias("y"))
+
+    spread = apart.filter("node != pivot").select("pivot", "node", "n", "np", "m", F.explode("d").alias("x"))
+    shared = spread.groupBy("pivot", "x").agg(F.count("*").alias("f")).filter("f > 1").checkpoint()
+    ranked = spread.join(shared, ["pivot", "x"]).groupBy("pivot", "node", "n", "np", "m").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    far, least = c * F.col("n") * (1 + 1 / ratio), c * (ratio * F.col("n") + F.col("np"))
+    places = lambda overlap: F.col("m") - F.greatest(F.lit(1.0), F.ceil(overlap / 2 - 1e-6)) + 1
+    alone = F.col("m") - F.size("xs")
+    front = (
+        ranked.withColumn("larger", places(F.col("m") - far) - alone)
+        .withColumn("smaller", places(F.col("m") + F.greatest("m", least) - far) - alone)
+        .select("pivot", "node", "smaller", F.posexplode(F.slice("xs", 1, F.greatest(F.lit(0), F.col("larger").cast("int")))).alias("at", "e"))
+        .select("pivot", "node", (F.col("at") < F.col("smaller")).alias("small"), F.col("e.x").alias("x"))
+        .join(apart.select("pivot", "node", "label", "n", "m", "parity"), ["pivot", "node"])
+        .checkpoint()
+    )
+    p, q = front.alias("p"), front.filter("small").alias("q")
+    meet = (F.col("p.pivot") == F.col("q.pivot")) & (F.col("p.x") == F.col("q.x")) & (F.col("p.label") != F.col("q.label"))
+    order = (F.col("p.m") > F.col("q.m")) | ((F.col("p.m") == F.col("q.m")) & (F.col("p.node") > F.col("q.node")))
+    met = p.join(q, meet & order & _may_link("p.", "q.", num, den)).select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))
+    return sure.union(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -161,18 +194,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     stars = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(crowded.filter("node != lo").select("lo", "node")).distinct().checkpoint()
     wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct().checkpoint()
-    sets = texts.join(wanted, "doc_id").mapInArrow(_set_rows(k), "node long, n long, shingles array<long>").checkpoint()
+    sets = texts.join(wanted, "doc_id").mapInArrow(_set_rows(k), "node long, n long, parity array<long>, shingles array<long>").checkpoint()
     links = _verified(stars, sets, num, den).checkpoint()
     labels = components(links)
 
-    placed = crowded.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")).checkpoint()
+    placed = crowded.join(labels, "node", "left").select("key", "node", "lo", "size", F.coalesce("label", "node").alias("label")).checkpoint()
     open_ = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key").checkpoint()
     rest = placed.join(open_, "key").checkpoint()
     few = rest.filter(F.col("size") <= SMALL_BUCKET)
     p, q = few.alias("p"), few.alias("q")
     direct = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    many = rest.filter(F.col("size") > SMALL_BUCKET).select("node", "label").distinct().checkpoint()
-    across = direct if many.isEmpty() else direct.union(_prefix_pairs(many, sets, num, den))
+    many = rest.filter(F.col("size") > SMALL_BUCKET).select(F.col("lo").alias("pivot"), "node", "label").distinct().checkpoint()
+    across = direct if many.isEmpty() else direct.union(_across(many, sets, num, den))
     more = _verified(across.distinct().join(stars, ["a", "b"], "left_anti"), sets, num, den).checkpoint()
     if not more.isEmpty():
         labels = components(links.union(more))
