@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame, parts: int) -> DataFrame:
     """The least neighbour of each u, itself included. Checkpointed: then a join with it has plain exchanges, which AQE can split."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
+    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts).checkpoint()
+
+
+def parts_for(rows: int, each: int = 20_000) -> int:
+    """Tasks for so many small rows; at least 8. A few thousand rows need no task for each shuffle partition."""
+    return max(8, -(-rows // each))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,16 +23,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Self links give a node its own label. An empty table gives an empty table.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
-    nodes = edges.filter("u = v").select("u").distinct()
+    parts = parts_for(2 * edges.count())
+    edges = edges.coalesce(parts)
+    nodes = edges.filter("u = v").select("u")
     edges = edges.filter("u != v")
     seen = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        large = both.join(_smallest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
-        small = large.join(_smallest(large), "u")
-        edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct().checkpoint()
+        large = both.join(_smallest(both, parts), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts).checkpoint()
+        small = large.join(_smallest(large, parts), "u")
+        edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct().coalesce(parts).checkpoint()
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).union(nodes.select(F.col("u").alias("node"), F.col("u").alias("label"))).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
+    own = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).union(nodes.select(F.col("u").alias("node"), F.col("u").alias("label")))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(own).groupBy("node").agg(F.min("label").alias("label")).coalesce(parts).checkpoint()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, Words, blocks, mix, prepare, shingles, signed
-from .components import components
+from .components import components, parts_for
 
 BANDS, ROWS = 32, 5
 #: Buckets that still span components and have up to so many members test all their pairs; larger ones use the prefix filter.
@@ -128,7 +128,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return joined.select("a", "b", "a_n", "b_n", both.alias("both")).filter(den * F.col("both") >= num * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b")
 
 
-def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """For members (pivot, node, label) that were all tested against their pivot: pairs across labels that may link; complete as to components.
 
     Let c = (den - num) / (den + num): X and Y link if |X - Y| + |Y - X| <= c (|X| + |Y|). Take each set's difference D from the
@@ -140,14 +140,14 @@ def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     c, ratio = (den - num) / (den + num), num / den
     heads, own = sets.select(F.col("node").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), sets
     apart = members.join(own, "node").join(heads, "pivot").select("pivot", "node", "label", "n", "np", "parity", F.concat(F.array_except("shingles", "sp"), F.array_except("sp", "shingles")).alias("d"))
-    apart = apart.withColumn("m", F.size("d").cast("double")).checkpoint()
-    home = members.filter("node = pivot").select("pivot", F.col("label").alias("home")).distinct().checkpoint()
-    placed = apart.select("pivot", "node", "label", "n", "m").join(home, "pivot").checkpoint()
-    best = placed.filter("label = home").groupBy("pivot").agg(F.max(F.struct((c * F.col("n") - F.col("m")).alias("room"), F.col("node").alias("b"))).alias("best")).checkpoint()
+    apart = apart.withColumn("m", F.size("d").cast("double")).coalesce(4 * parts).checkpoint()
+    home = members.filter("node = pivot").select("pivot", F.col("label").alias("home")).distinct().coalesce(parts).checkpoint()
+    placed = apart.select("pivot", "node", "label", "n", "m").join(home, "pivot").coalesce(parts).checkpoint()
+    best = placed.filter("label = home").groupBy("pivot").agg(F.max(F.struct((c * F.col("n") - F.col("m")).alias("room"), F.col("node").alias("b"))).alias("best")).coalesce(parts).checkpoint()
     sure = placed.filter("label != home").join(best, "pivot").filter(F.col("m") <= c * F.col("n") + F.col("best.room") + 1e-6).select(F.col("node").alias("x"), F.col("best.b").alias("y"))
 
     spread = apart.filter("node != pivot").select("pivot", "node", "n", "np", "m", F.explode("d").alias("x"))
-    shared = spread.groupBy("pivot", "x").agg(F.count("*").alias("f")).filter("f > 1").checkpoint()
+    shared = spread.groupBy("pivot", "x").agg(F.count("*").alias("f")).filter("f > 1").coalesce(4 * parts).checkpoint()
     ranked = spread.join(shared, ["pivot", "x"]).groupBy("pivot", "node", "n", "np", "m").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
     far, least = c * F.col("n") * (1 + 1 / ratio), c * (ratio * F.col("n") + F.col("np"))
     places = lambda overlap: F.col("m") - F.greatest(F.lit(1.0), F.ceil(overlap / 2 - 1e-6)) + 1
@@ -158,6 +158,7 @@ def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         .select("pivot", "node", "smaller", F.posexplode(F.slice("xs", 1, F.greatest(F.lit(0), F.col("larger").cast("int")))).alias("at", "e"))
         .select("pivot", "node", (F.col("at") < F.col("smaller")).alias("small"), F.col("e.x").alias("x"))
         .join(apart.select("pivot", "node", "label", "n", "m", "parity"), ["pivot", "node"])
+        .coalesce(4 * parts)
         .checkpoint()
     )
     p, q = front.alias("p"), front.filter("small").alias("q")
@@ -193,20 +194,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     crowded = keyed.join(buckets.filter("size > 2").select("key", "lo", "size"), "key").checkpoint()
 
     stars = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(crowded.filter("node != lo").select("lo", "node")).distinct().checkpoint()
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct().checkpoint()
+    few_parts, parts = parts_for(stars.count()), parts_for(crowded.count())
+    stars = stars.coalesce(few_parts)
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct().coalesce(few_parts).checkpoint()
     sets = texts.join(wanted, "doc_id").mapInArrow(_set_rows(k), "node long, n long, parity array<long>, shingles array<long>").checkpoint()
-    links = _verified(stars, sets, num, den).checkpoint()
+    links = _verified(stars, sets, num, den).coalesce(4 * few_parts).checkpoint()
     labels = components(links)
 
-    placed = crowded.join(labels, "node", "left").select("key", "node", "lo", "size", F.coalesce("label", "node").alias("label")).checkpoint()
-    open_ = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key").checkpoint()
-    rest = placed.join(open_, "key").checkpoint()
+    placed = crowded.coalesce(parts).join(labels, "node", "left").select("key", "node", "lo", "size", F.coalesce("label", "node").alias("label")).coalesce(parts).checkpoint()
+    open_ = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key").coalesce(parts).checkpoint()
+    rest = placed.join(open_, "key").coalesce(parts).checkpoint()
     few = rest.filter(F.col("size") <= SMALL_BUCKET)
     p, q = few.alias("p"), few.alias("q")
     direct = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    many = rest.filter(F.col("size") > SMALL_BUCKET).select(F.col("lo").alias("pivot"), "node", "label").distinct().checkpoint()
-    across = direct if many.isEmpty() else direct.union(_across(many, sets, num, den))
-    more = _verified(across.distinct().join(stars, ["a", "b"], "left_anti"), sets, num, den).checkpoint()
+    many = rest.filter(F.col("size") > SMALL_BUCKET).select(F.col("lo").alias("pivot"), "node", "label").distinct().coalesce(parts).checkpoint()
+    across = direct if many.isEmpty() else direct.union(_across(many, sets, num, den, parts))
+    more = _verified(across.distinct().join(stars, ["a", "b"], "left_anti").coalesce(parts), sets, num, den).coalesce(4 * parts).checkpoint()
     if not more.isEmpty():
         labels = components(links.union(more))
     found = member.join(labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
