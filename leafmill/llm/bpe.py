@@ -4,9 +4,10 @@ The merges of a word are a fold of Spark higher-order functions: its state is an
 byte, and an array with the rank of each neighbouring pair; a step merges the first pair of least rank. Ranks come
 from a literal table of all pairs of ids that join to another id (open addressing, so a look-up is a few comparisons).
 
-Words are folded once, not once per occurrence: the most frequent ones (a bounded dictionary, counted over all
-documents) are folded first and broadcast, so that documents turn into codes in one pass; the others are folded once for each
-few megabytes of text that hold them. No text and no word list is ever shuffled whole: only counts of words are.
+Words are folded once, not once per occurrence: the most frequent distinct words of all documents, a bounded dictionary,
+are folded and broadcast; a pass over the documents then replaces matches by their ids. The fold takes some 80
+microseconds a word in Spark 4.1 and rare words are as many as the corpus is large, so words outside the dictionary are merged
+in that pass by plain code (see the README for figures). No text and no word list is shuffled: only counts of words are.
 Decoding concatenates the binary pieces of the ids.
 """
 
@@ -27,10 +28,8 @@ from .pretokens import pieces, pretokens
 
 #: The broadcast dictionary: so many words, of so many bytes each, at most.
 HOT_WORDS, HOT_BYTES = 1 << 19, 64
-#: Words of more bytes are merged with a heap instead of the fold, whose steps copy the whole array.
-FOLD_BYTES = 192
-#: Text that is encoded as one row between the two Python steps.
-FLUSH_BYTES = 16 << 20
+#: Words of more bytes are merged with a heap; a task keeps the ids of so many words outside the dictionary.
+SHORT_BYTES, CACHE_WORDS = 64, 100_000
 SLOTS, PROBES, NO_RANK = 524287, 5, 65535
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 5
 _BYTES = (np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -61,49 +60,68 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold_words(words: Column, tokens: list[bytes], most: int = FOLD_BYTES) -> Column:
-    """array<string> to the words' ids, array<array<int>>; null for words of over `most` bytes. The rank table is one literal."""
+def fold_words(words: Column, tokens: list[bytes]) -> Column:
+    """array<string> to the words' ids, array<array<int>>. The rank table is one literal."""
     ranks = {t: i for i, t in enumerate(tokens)}
     table = F.from_json(F.lit("[" + ",".join(map(str, pair_table(tokens))) + "]"), "array<bigint>")
     single = F.from_json(F.lit(str([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-    return let(F.array(table, single), lambda t: F.transform(words, lambda w: F.when(F.octet_length(w) <= most, fold_merges(w, t[0], t[1]))))
+    return let(F.array(table, single), lambda t: F.transform(words, lambda w: fold_merges(w, t[0], t[1])))
 
 
 def fold_merges(word: Column, table: Column, single: Column) -> Column:
-    """The ids of a word, as array<int>, by folding merges in order of rank. single: the ids of the single bytes."""
-
-    def rank(left: Column, right: Column) -> Column:
-        def probe(key: Column, h: Column) -> Column:
-            out = F.lit(NO_RANK)
-            for p in reversed(range(PROBES)):
-                slot = F.get(table, (h + p).cast("int"))
-                out = F.when(F.shiftright(slot, 16) == key, slot.bitwiseAND(F.lit(65535)).cast("int")).when(slot == 0, F.lit(NO_RANK)).otherwise(out)
-            return out
-
-        return let(left.cast("long") * 65536 + right, lambda key: let((key * 40503 + F.shiftright(key, 7)) % SLOTS, lambda h: probe(key, h)))
+    """The ids of a word, as array<int>, by folding merges in order of rank. single: the ids of the single bytes.
 
-    letters = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
-    first = F.transform(letters, lambda c: F.get(single, F.ascii(c)).cast("int"))
+    The state holds the ids and the rank of each neighbouring pair. The ids stand between two ids of no token, so that
+    every pair has a neighbour on either side.
+    """
 
-    def step(state: Column, _: Column) -> Column:
-        def merged(t: Column) -> Column:
-            ids, ranks_, m, p, n = state.ids, state.ranks, t.m, t.p, F.size(state.ids)
-            none = F.array().cast("array<int>")
-            new = F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, n))
-            before = F.when(p > 1, F.array(rank(F.get(ids, p - 2), m))).otherwise(none)
-            after = F.when(p + 1 < n, F.array(rank(m, F.get(ids, p + 1)))).otherwise(none)
-            return F.struct(new.alias("ids"), F.concat(F.slice(ranks_, 1, F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks_, p + 2, n)).alias("ranks"))
+    def lookup(key: Column) -> Column:
+        h = (key * 40503 + F.shiftright(key, 7)) % SLOTS
+        out = F.lit(NO_RANK)
+        for p in reversed(range(PROBES)):
+            slot = F.get(table, (h + p).cast("int"))
+            out = F.when(F.shiftright(slot, 16) == key, slot.bitwiseAND(F.lit(65535)).cast("int")).when(slot == 0, F.lit(NO_RANK)).otherwise(out)
+        return out
 
-        def turn(m: Column) -> Column:
-            return F.when(m >= NO_RANK, state).otherwise(let(F.struct(m.alias("m"), F.array_position(state.ranks, m).cast("int").alias("p")), merged))
+    def merged(ids: Column, ranks: Column, m: Column, p: Column) -> Column:
+        left, right = F.get(ids, p - 2).cast("long") * 65536 + m, m.cast("long") * 65536 + F.get(ids, p + 1)
+        return F.struct(
+            F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, 65536)).alias("ids"),
+            F.concat(F.slice(ranks, 1, p - 2), F.transform(F.array(left, right), lookup), F.slice(ranks, p + 2, 65536)).alias("ranks"),
+        )
 
-        return let(F.coalesce(F.array_min(state.ranks), F.lit(NO_RANK)), turn)
+    def step(state: Column, _: Column) -> Column:
+        least = F.array_min(state.ranks)
+        at = F.struct(least.alias("m"), F.array_position(state.ranks, least).cast("int").alias("p"))
+        return F.when(least >= NO_RANK, state).otherwise(let(at, lambda t: merged(state.ids, state.ranks, t.m, t.p)))
 
     def whole(ids: Column) -> Column:
-        pairs = F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))), lambda x, i: rank(x, F.get(ids, i + 1)))
-        return F.aggregate(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), F.struct(ids.alias("ids"), pairs.alias("ranks")), step, lambda s: s.ids)
+        keys = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: x.cast("long") * 65536 + F.get(ids, i + 1))
+        start = F.struct(ids.alias("ids"), F.transform(keys, lookup).alias("ranks"))
+        return F.aggregate(F.slice(ids, 3, F.size(ids) - 3), start, step, lambda s: F.slice(s.ids, 2, F.size(s.ids) - 2))
 
-    return let(first, whole)
+    letters = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
+    edge = F.array(F.lit(NO_RANK))
+    first = F.concat(edge, F.transform(letters, lambda c: F.get(single, F.ascii(c)).cast("int")), edge)
+    return F.when(F.octet_length(word) > 0, let(first, whole)).otherwise(F.array().cast("array<int>"))
+
+
+def short_merges(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same ids by search for the least pair, for words that the dictionary does not hold."""
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    at = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]  # noqa: B905
+    while at:
+        m = min(at)
+        if m == NO_RANK:
+            break
+        i = at.index(m)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del at[i]
+        if i:
+            at[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+        if i < len(at):
+            at[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+    return [ranks[p] for p in parts]
 
 
 def heap_merges(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -137,7 +155,7 @@ def match_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with their counts in each block, without those too long for the dictionary."""
     for batch in batches:
-        for _, _, data, offs in blocks(batch.column(0), 8 << 20):
+        for _, _, data, offs in blocks(batch.column(0), 2 << 20):
             starts, _ = pretokens(data, offs)
             _, index, n = np.unique(match_hashes(data, starts), return_index=True, return_counts=True)
             short = (starts[index + 1] - starts[index]) <= HOT_BYTES
@@ -181,66 +199,6 @@ class Dictionary:
         return out
 
 
-def _coded(hot, extra: int):
-    """Texts to rows of up to FLUSH_BYTES: their documents, each match as a code (a hot word's number, or -1 - the number of one of the row's other words)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, held, size = Dictionary(*hot.value), [], 0
-
-        def flush() -> pa.RecordBatch:
-            codes, counts, tails, hashes, columns = [], [], [], [], []
-            at = 0
-            for batch in held:
-                columns.append(batch.select(range(extra)))
-                for _, _, data, offs in blocks(batch.column(extra), 4 << 20):
-                    starts, first = pretokens(data, offs)
-                    h = match_hashes(data, starts)
-                    code = d.find(h)
-                    miss = np.flatnonzero(code < 0)
-                    if len(miss):
-                        own, index, back = np.unique(h[miss], return_index=True, return_inverse=True)
-                        tails.append(pieces(data, starts, miss[index]))
-                        hashes.append(own)
-                        code[miss] = -1 - at - back.ravel()
-                        at += len(own)
-                    codes.append(code)
-                    counts.append(np.diff(first))
-            code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            words = pa.array([], pa.string())
-            if tails:  # blocks may share words
-                _, index, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-                words = pa.concat_arrays(tails).take(pa.array(index))
-                low = code < 0
-                code[low] = -1 - back.ravel()[-1 - code[low]]
-            table = pa.Table.from_batches(columns).combine_chunks()
-            keys = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns], fields=list(table.schema))
-            one = lambda x, kind: pa.array([x], kind)
-            n = pa.array([0, len(keys)], pa.int32())
-            return pa.record_batch(
-                [pa.ListArray.from_arrays(n, keys), one(np.concatenate(counts).astype(np.int32).tobytes() if counts else b"", pa.binary()), one(code.astype(np.int32).tobytes(), pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
-                names=["keys", "counts", "codes", "words"],
-            )
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                held.append(part)
-                offsets = part.column(extra)
-                size += _bytes(offsets)
-                if size >= FLUSH_BYTES:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return run
-
-
-def _bytes(column: pa.Array) -> int:
-    o = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else [0, 0]
-    return int(o[-1]) - int(o[0])
-
-
 def expand(sizes: np.ndarray, ends: np.ndarray, flat: np.ndarray, pick: np.ndarray) -> np.ndarray:
     """The entries of flat that belong to the runs numbered in pick, end to end; run i has sizes[i] entries and ends at ends[i]."""
     size = sizes[pick]
@@ -248,52 +206,51 @@ def expand(sizes: np.ndarray, ends: np.ndarray, flat: np.ndarray, pick: np.ndarr
     return flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(ends[pick] - upto, size)]
 
 
-def _assembled(hot, tokens, names: list[str], want_ids: bool):
+def _encoded(hot, tokens, names: list[str], want_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, tok = Dictionary(*hot.value), tokens.value
-        ranks: dict[bytes, int] = {}
-        shown = [b"%d " % i for i in range(len(tok))]
+        ranks = {t: i for i, t in enumerate(tok)}
         runs = []
-        for parts in (shown, tok):
+        for parts in ([b"%d " % i for i in range(len(tok))], tok):  # ids as they are shown, and their bytes
             s = np.array([len(x) for x in parts], np.int64)
             runs.append((s, np.cumsum(s), np.frombuffer(b"".join(parts), np.uint8)))
         hot_ends = np.cumsum(d.sizes)
+        known: dict[bytes, list[int]] = {}
+
+        def merges(word: bytes) -> list[int]:
+            out = known.get(word)
+            if out is None:
+                out = heap_merges(word, ranks) if len(word) > SHORT_BYTES else short_merges(word, ranks)
+                if len(known) < CACHE_WORDS and len(word) <= HOT_BYTES:
+                    known[word] = out
+            return out
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                keys = batch.column(0)[row].values
-                counts = np.frombuffer(batch.column(1)[row].as_buffer(), np.int32)
-                code = np.frombuffer(batch.column(2)[row].as_buffer(), np.int32).astype(np.int64)
-                words, folded = batch.column(3)[row].values, batch.column(4)[row].values
-                long = np.flatnonzero(folded.is_null().to_numpy(zero_copy_only=False)) if len(folded) else []
-                if len(long):
-                    ranks = ranks or {t: i for i, t in enumerate(tok)}
-                    mended = folded.to_pylist()
-                    for i in long:
-                        mended[i] = heap_merges(words[int(i)].as_py().encode(), ranks)
-                    folded = pa.array(mended, pa.list_(pa.int32()))
-                own = np.diff(folded.offsets.to_numpy()).astype(np.int64) if len(folded) else np.zeros(0, np.int64)
-                sizes = np.concatenate([d.sizes, own])
-                ends = np.concatenate([hot_ends, np.cumsum(own) + (hot_ends[-1] if len(hot_ends) else 0)])
-                flat = np.concatenate([d.flat, folded.flatten().to_numpy().astype(np.uint16)]) if len(folded) else d.flat
-                pick = np.where(code >= 0, code, len(d.sizes) - 1 - code)
-                match_of = np.concatenate([[0], np.cumsum(counts)])
-                for i in range(0, len(counts), 256):  # documents, so that what is spread out stays small
-                    j = min(i + 256, len(counts))
-                    part = pick[match_of[i] : match_of[j]]
-                    ids = expand(sizes, ends, flat, part)
-                    upto = np.concatenate([[0], np.cumsum(sizes[part])])[match_of[i : j + 1] - match_of[i]]
-                    spread = []
-                    for s, e, f in runs:
-                        out = expand(s, e, f, ids)
-                        at = np.concatenate([[0], np.cumsum(s[ids])])[upto]
-                        spread.append((out.tobytes(), at.tolist()))
-                    (text, t), (raw, r) = spread
-                    hashed = lambda x, a, cut: [hashlib.sha256(x[a[k] : max(a[k], a[k + 1] - cut)]).hexdigest() for k in range(len(a) - 1)]
-                    columns = [*keys.slice(i, j - i).flatten(), pa.array(np.diff(upto), pa.int64()), pa.array(hashed(text, t, 1)), pa.array(hashed(raw, r, 0))]
-                    if want_ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))))
-                        columns.append(pa.array([raw[r[k] : r[k + 1]] for k in range(j - i)], pa.binary()))
-                    yield pa.record_batch(columns, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * want_ids]])
+            for i, j, data, offs in blocks(batch.column(len(names))):
+                starts, match_of = pretokens(data, offs)
+                h = match_hashes(data, starts)
+                code = d.find(h).astype(np.int64)
+                miss = np.flatnonzero(code < 0)
+                sizes, ends, flat = d.sizes, hot_ends, d.flat
+                if len(miss):
+                    _, index, back = np.unique(h[miss], return_index=True, return_inverse=True)
+                    raw, a, b = data.tobytes(), starts[miss[index]].tolist(), starts[miss[index] + 1].tolist()
+                    own = [merges(raw[x:y]) for x, y in zip(a, b, strict=True)]
+                    n = np.array([len(o) for o in own], np.int64)
+                    sizes, ends = np.concatenate([sizes, n]), np.concatenate([ends, np.cumsum(n) + len(flat)])
+                    flat = np.concatenate([flat, np.array([x for o in own for x in o], np.uint16)])
+                    code[miss] = len(d.sizes) + back.ravel()
+                ids = expand(sizes, ends, flat, code)
+                upto = np.concatenate([[0], np.cumsum(sizes[code])])[match_of]
+                hashed, raw = [], b""
+                for (s, e, f), cut in zip(runs, (1, 0), strict=True):
+                    raw = expand(s, e, f, ids).tobytes()
+                    at = np.concatenate([[0], np.cumsum(s[ids])])[upto].tolist()
+                    hashed.append([hashlib.sha256(raw[x : max(x, y - cut)]).hexdigest() for x, y in zip(at, at[1:])])  # noqa: B905
+                columns = [*(batch.column(c).slice(i, j - i) for c in range(len(names))), pa.array(np.diff(upto), pa.int64()), *(pa.array(x, pa.string()) for x in hashed)]
+                if want_ids:
+                    columns += [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())]  # noqa: B905
+                yield pa.record_batch(columns, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * want_ids]])
 
     return run
 
@@ -325,10 +282,6 @@ def encode_decode(docs: DataFrame, path: str, keys: list[str] | None = None, tex
     tokens = load_ranks(path)
     hot = spark.sparkContext.broadcast(dictionary(docs, tokens, text, hot_words))
     listed = spark.sparkContext.broadcast(tokens)
-    fields = [docs.schema[k] for k in keys]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    struct = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
-    coded = docs.select(*keys, F.col(text)).mapInArrow(_coded(hot, len(keys)), f"keys array<struct<{struct}>>, counts binary, codes binary, words array<string>")
-    folded = coded.withColumn("folded", fold_words(F.col("words"), tokens))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[k] for k in keys))
     more = ", ids array<int>, decoded binary" if ids else ""
-    return folded.mapInArrow(_assembled(hot, listed, keys, ids), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return docs.select(*keys, F.col(text)).mapInArrow(_encoded(hot, listed, keys, ids), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
