@@ -186,9 +186,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = texts.mapInArrow(_sketched(k, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>").checkpoint()
     classes = drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")).checkpoint()
-    member = drawn.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")).checkpoint()
+    head = F.when(F.col("doc_id") == F.col("class_id"), F.col("bands"))
+    member = drawn.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), head.alias("bands")).checkpoint()
 
-    heads = drawn.join(classes, ["d1", "d2"]).filter("doc_id = class_id").select("class_id", "bands").checkpoint()
+    heads = member.filter("bands is not null").select("class_id", "bands")
     keyed = heads.select(F.col("class_id").alias("node"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi").checkpoint()
     crowded = keyed.join(buckets.filter("size > 2").select("key", "lo", "size"), "key").checkpoint()
