@@ -2,7 +2,7 @@
 
 The merges of a word are a fold of Spark higher-order functions: its state is an array of ids, at first one for each
 byte, and an array with the rank of each neighbouring pair; a step merges the first pair of least rank. Ranks come
-from a literal table of all pairs of ids that join to another id (open addressing, so a look-up is a few comparisons).
+from a literal map of all pairs of ids that join to another id (open addressing, so a look-up is a few comparisons).
 
 Words are folded once, not once per occurrence: the most frequent distinct words of all documents, a bounded dictionary,
 are folded and broadcast; a pass over the documents then replaces matches by their ids. The fold takes some 80
@@ -28,6 +28,8 @@ from .pretokens import pieces, pretokens
 
 #: The broadcast dictionary: so many words, of so many bytes each, at most.
 HOT_WORDS, HOT_BYTES = 1 << 19, 64
+#: Words that are folded in one row.
+GROUP_WORDS = 4096
 #: Words of more bytes are merged with a heap; a task keeps the ids of so many words outside the dictionary.
 SHORT_BYTES, CACHE_WORDS = 64, 100_000
 SLOTS, PROBES, NO_RANK = 524287, 5, 65535
@@ -60,12 +62,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold_words(words: Column, tokens: list[bytes]) -> Column:
-    """array<string> to the words' ids, array<array<int>>. The rank table is one literal."""
+def rank_map(spark: SparkSession, tokens: list[bytes]) -> Column:
+    """struct<table, single>: the pairs' ranks and the single bytes' ids, as a literal that Spark fills in when a query runs.
+
+    As a literal from the start it would stand in every text that Spark makes of the plan, 26 MB a run, and stay in the driver's memory.
+    """
     ranks = {t: i for i, t in enumerate(tokens)}
-    table = F.from_json(F.lit("[" + ",".join(map(str, pair_table(tokens))) + "]"), "array<bigint>")
-    single = F.from_json(F.lit(str([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-    return let(F.array(table, single), lambda t: F.transform(words, lambda w: fold_merges(w, t[0], t[1])))
+    row = pa.table({"table": pa.array([pair_table(tokens)], pa.list_(pa.int64())), "single": pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int64()))})
+    return spark.createDataFrame(row).select(F.struct("table", "single")).scalar()
+
+
+def fold_words(groups: DataFrame, ranks: Column) -> DataFrame:
+    """groups (words array<string>) to (word, ids array<int>); ranks is a rank_map, which a group reads once."""
+    with_map = groups.select("words", ranks.alias("t"))
+    folded = F.transform("words", lambda w: F.struct(w.alias("word"), fold_merges(w, F.col("t.table"), F.col("t.single")).alias("ids")))
+    return with_map.select(F.explode(folded).alias("e")).select("e.word", "e.ids")
 
 
 def fold_merges(word: Column, table: Column, single: Column) -> Column:
@@ -259,9 +270,13 @@ def dictionary(docs: DataFrame, tokens: list[bytes], text: str = "text", hot_wor
     """The most frequent words of all documents with their ids: at most hot_words of HOT_BYTES each."""
     counts = docs.select(text).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.filter("n > 1").orderBy(F.col("n").desc(), "word").limit(hot_words).select("word").checkpoint()
+    groups = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(-(-hot_words // GROUP_WORDS))).alias("g")).agg(F.collect_list("word").alias("words"))
     parts = max(12, docs.sparkSession.sparkContext.defaultParallelism * 2)
-    table = top.repartition(parts).select("word", fold_words(F.array("word"), tokens)[0].alias("ids")).toArrow()
-    return Dictionary.build(_flat(table.column("word")), _flat(table.column("ids")))
+    table = fold_words(groups.repartition(parts, "g"), rank_map(docs.sparkSession, tokens)).toArrow()
+    out = Dictionary.build(_flat(table.column("word")), _flat(table.column("ids")))
+    del table
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
