@@ -28,8 +28,8 @@ from .pretokens import pieces, pretokens
 
 #: The broadcast dictionary: so many words, of so many bytes each, at most.
 HOT_WORDS, HOT_BYTES = 1 << 19, 64
-#: Words that are folded in one row.
-GROUP_WORDS = 4096
+#: Words that are folded in one row; steps for each doubling of a count.
+GROUP_WORDS, STEPS = 4096, 16
 #: Words of more bytes are merged with a heap; a task keeps the ids of so many words outside the dictionary.
 SHORT_BYTES, CACHE_WORDS = 64, 100_000
 SLOTS, PROBES, NO_RANK = 524287, 5, 65535
@@ -267,9 +267,16 @@ def _encoded(hot, tokens, names: list[str], want_ids: bool):
 
 
 def dictionary(docs: DataFrame, tokens: list[bytes], text: str = "text", hot_words: int = HOT_WORDS) -> tuple[np.ndarray, ...]:
-    """The most frequent words of all documents with their ids: at most hot_words of HOT_BYTES each."""
-    counts = docs.select(text).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.filter("n > 1").orderBy(F.col("n").desc(), "word").limit(hot_words).select("word").checkpoint()
+    """The most frequent words of all documents with their ids: at most hot_words of HOT_BYTES each. Words of nearly one count come in together or not at all."""
+    counts = docs.select(text).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").checkpoint()
+    # a histogram of the counts' logarithms, a few hundred rows, tells from which count on words fit in; no task sorts them all
+    step = F.floor(F.log2("n") * STEPS)
+    room, least = hot_words, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.col("step").desc()).collect():
+        if row.words > room:
+            break
+        room, least = room - row.words, row.step
+    top = counts.filter(step >= least if least is not None else F.lit(False)).select("word")
     groups = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(-(-hot_words // GROUP_WORDS))).alias("g")).agg(F.collect_list("word").alias("words"))
     parts = max(12, docs.sparkSession.sparkContext.defaultParallelism * 2)
     table = fold_words(groups.repartition(parts, "g"), rank_map(docs.sparkSession, tokens)).toArrow()

@@ -154,6 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, penalty:
         rate = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return float(np.log(rate / (1 - rate))), []
     rules = tree_rules(x, y)
+    if not rules:  # too few rows to split
+        return float(np.log(y.mean() / (1 - y.mean()))), []
     b, w = lasso_logistic(np.stack([holds(r, x) for r in rules], axis=1).astype(float), y, penalty)
     return float(b), [(float(c), r) for c, r in zip(w, rules, strict=True) if c]
 

@@ -21,6 +21,8 @@ from .labelled import TRAIN_ROWS, labelled_sample
 #: Bytes of the prefixes that are terms too.
 PREFIXES = (4, 5, 6)
 MAX_TERMS, FACTORS, STEPS = 4096, 4, 150
+#: A term's rates in the two classes must be so many standard deviations apart; few labels thus give few terms, not noise.
+LEAST_DEVIATIONS = 2.5
 FOLDS, HELD = 5, 0
 
 
@@ -109,7 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms
     p, n = float(total.p or 0), float(total.n)
     have, want = F.col("a") / F.lit(max(p, 1.0)), (F.col("n") - F.col("a")) / F.lit(max(n - p, 1.0))
     gap = F.abs(have - want) / F.sqrt((F.col("n") + 2) / F.lit(max(n, 1.0)))
-    best = [r.term for r in counts.orderBy(gap.desc(), "term").limit(max_terms).select("term").collect()]
+    rate = (F.col("n") + 2) / F.lit(n + 4)
+    sure = F.abs(have - want) >= LEAST_DEVIATIONS * F.sqrt(rate * (1 - rate) * F.lit(1 / max(p, 1.0) + 1 / max(n - p, 1.0)))
+    best = [r.term for r in counts.filter(sure).orderBy(gap.desc(), "term").limit(max_terms).select("term").collect()]
     terms = np.sort(np.array(best, np.int64).view(np.uint64))
     if not len(terms):
         return fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), terms)
