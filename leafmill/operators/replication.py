@@ -28,6 +28,8 @@ class Side(Protocol):
 
     def put_revs(self, rows: DataFrame) -> int: ...
 
+    def put(self, doc: dict) -> str: ...
+
     local: Any
 
 
@@ -83,6 +85,14 @@ def wait_for(source: Side, target: Side, tries: int = 10, pause: float = 0.5) ->
     return False
 
 
+def put_in_sync(source: Side, doc: dict, targets: dict[str, Side], name: str, tries: int = 10, pause: float = 0.5) -> tuple[str, list[str]]:
+    """Writes doc to source and replicates it to each target; its revision, and the targets that have all of source's revisions."""
+    rev = source.put(doc)
+    for target_name, target in targets.items():
+        replicate(source, target, replication_id(name, target_name))
+    return rev, [n for n, t in targets.items() if wait_for(source, t, tries, pause)]
+
+
 @dataclass
 class Task:
     name: str
@@ -137,7 +147,7 @@ class Tasks:
         return self.run(name)
 
     def run(self, name: str) -> dict | None:
-        """One round of a task; a paused one does nothing. For continuous tasks call it from a stream's foreachBatch, or again and again."""
+        """One round of a task; a paused one does nothing. Continuous tasks are run again for each micro-batch, by streaming.replication."""
         task = self.get(name)
         if task.state == "paused":
             return None

@@ -9,10 +9,11 @@ from leafmill.functions.hlc import FIRST
 from leafmill.functions.revs import make_rev
 from leafmill.operators import changes as C
 from leafmill.operators.operations import Metrics, observed, with_timeout
-from leafmill.operators.replication import Task, Tasks, arrived, replicate, replication_id, wait_for
+from leafmill.operators.replication import Task, Tasks, arrived, put_in_sync, replicate, replication_id, wait_for
 from leafmill.plans.conditions import QueryError
 from leafmill.sources.store import Databases, Store
 from leafmill.streaming.feed import Subscriptions, query_patterns
+from leafmill.streaming.replication import follow
 
 
 @pytest.fixture
@@ -188,6 +189,23 @@ def test_filtered_tasks(spark, tmp_path):
         tasks.get("t")
 
 
+def test_continuous_replication_and_put_in_sync(spark, tmp_path):
+    stores = {n: Store(spark, f"file://{tmp_path}/{n}") for n in "abc"}
+    tasks = Tasks(stores["a"].local, stores.__getitem__)
+    tasks.add(Task("both", "a", "b", direction="both", mode="continuous"))
+    tasks.add(Task("once", "a", "b"))
+    with pytest.raises(QueryError, match="invalid_task"):
+        follow(tasks, "once", f"file://{tmp_path}/ck")
+    load(stores["a"], [{"id": "x"}])
+    load(stores["b"], [{"id": "y"}])
+    for q in follow(tasks, "both", f"file://{tmp_path}/ck", once=True):
+        q.awaitTermination(90)
+        assert q.exception() is None
+    assert all(sorted(r.id for r in stores[n].docs().collect()) == ["x", "y"] for n in "ab") and tasks.get("both").state == "running"
+    rev, there = put_in_sync(stores["a"], {"id": "z"}, {"c": stores["c"]}, "a", 1)
+    assert there == ["c"] and stores["c"].get("z")["rev"] == rev
+
+
 def test_subscriptions(spark, tmp_path, store):
     seen = {"paths": [], "query": [], "push": []}
     subs = Subscriptions(store, f"file://{tmp_path}/ck")
