@@ -1,15 +1,18 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs are lines. Word n-grams (one to three words) that occur in the training phrases are the features of a
-softmax regression over licence families and "unknown"; its temperature is fitted on phrases kept apart, so that its
-probabilities mean something. A family counts once a template agrees: the paragraph must hold most of the weight of
-the family's own n-grams.
+Word n-grams (one to three words) that occur in the training phrases are the features of a softmax regression over
+licence families and "unknown"; its temperature is fitted on phrases kept apart, so that its probabilities mean
+something. What is classified is each line, and each run of lines over whose line feeds n-grams of one template go on;
+a line without words ends a run. A family counts once a template agrees: the line or run must hold most of the
+n-grams of one of the family's own templates.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +50,22 @@ UNKNOWN = "unknown"
 LEAST_PROBABILITY, LEAST_AGREEMENT = 0.5, 0.6
 
 
+#: Words that open each line of a comment in some languages; they don't part a statement.
+_COMMENT = Words(np.frombuffer(b"rem dnl c", np.uint8), np.array([0, 9]), IS_TERM).hashes()
+
+
 def ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[Words, list[np.ndarray]]:
-    """Words of lines, and hashes of the n-grams that start at each word; 0 where the line ends before."""
+    """Words, and hashes of the n-grams that start at each word, over line feeds too; 0 where a line without words or the text's end comes before theirs."""
     w = Words(data, offs, IS_TERM)
     h = w.hashes()
     line_of = np.concatenate([[0], np.cumsum(data == 10)])[w.starts] if len(data) else np.zeros(0, np.int64)
     text_of = np.repeat(np.arange(len(offs) - 1), np.diff(w.first))
     unit = line_of + text_of  # ascending, and apart for each line of each text
+    keep = (np.diff(unit, prepend=-1) == 0) | ~np.isin(h, _COMMENT)
+    if not keep.all():
+        w.starts, w.ends, h, unit, text_of = (x[keep] for x in (w.starts, w.ends, h, unit, text_of))
+        w.first = np.searchsorted(w.starts, offs)
+    part = np.cumsum((np.diff(unit, prepend=0) > 1) | (np.diff(text_of, prepend=0) > 0))
     out = [h]
     for n in (2, 3):
         g = np.zeros(len(h), np.uint64)
@@ -61,9 +73,9 @@ def ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[Words, list[np.ndarray]]
             total = np.full(len(h) - n + 1, n, np.uint64)
             for j in range(n):
                 total += h[j : len(h) - n + 1 + j] * _SLOT[j]
-            g[: len(h) - n + 1] = np.where(unit[: len(h) - n + 1] == unit[n - 1 :], mix(total), 0)
+            g[: len(h) - n + 1] = np.where(part[: len(h) - n + 1] == part[n - 1 :], mix(total), 0)
         out.append(g)
-    w.unit, w.text = unit, text_of
+    w.unit, w.text, w.part = unit, text_of, part
     return w, out
 
 
@@ -111,7 +123,10 @@ def train(steps: int = 120) -> dict:
     xv, yv = x[apart] @ w + bias, y[apart]
     temperature = min(np.linspace(0.5, 4, 36), key=lambda t: -np.log(_softmax(xv / t)[np.arange(len(yv)), yv] + 1e-12).mean())
     templates = [[np.searchsorted(terms, t) for t in _features(p)] for p in FAMILIES.values()]
-    return {"names": names, "terms": terms, "w": w.astype(np.float32), "bias": bias, "temperature": float(temperature), "templates": templates}
+    member = np.zeros((len(terms), sum(map(len, templates))), bool)
+    for k, t in enumerate(itertools.chain(*templates)):
+        member[t, k] = True
+    return {"names": names, "terms": terms, "w": w.astype(np.float32), "bias": bias, "temperature": float(temperature), "templates": templates, "member": member}
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -119,34 +134,159 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+@dataclass
+class Statement:
+    unit: int  # of its first line
+    family: int
+    probability: float
+    agreement: float
+    words: frozenset  # that the template agrees on
+
+
+class Hits:
+    """Terms of the model in a stretch of words, in order of their words: numbers, first and last words, and lines of these."""
+
+    def __init__(self, w: Words, at: np.ndarray, word: np.ndarray, last: np.ndarray):
+        self.at, self.word, self.last = at, word, last
+        self.a, self.b = w.unit[word], w.unit[last]
+
+    def within(self, i: int, j: int) -> np.ndarray:
+        """Which lie in lines i to j."""
+        lo, hi = np.searchsorted(self.a, i), np.searchsorted(self.a, j, "right")
+        return lo + np.flatnonzero(self.b[lo:hi] <= j)
+
+
+def _runs(a: np.ndarray, b: np.ndarray, term: np.ndarray, size: int) -> set[tuple[int, int]]:
+    """Runs of lines that hold enough of a template's n-grams (of `size`), which lie in lines a to b.
+
+    Only n-grams carry a run over a line feed. The shortest runs that hold enough are grown while a line more holds n-grams that the run lacks; each step counts.
+    """
+    out: set[tuple[int, int]] = set()
+    feeds = np.unique(np.concatenate([a[b > a], b[b > a] - 1]))
+    for feed in np.split(feeds, np.flatnonzero(np.diff(feeds) > 1) + 1):
+        low, high = int(feed[0]), int(feed[-1]) + 1
+        mine = slice(np.searchsorted(a, low), np.searchsorted(a, high, "right"))
+        x, y, t = a[mine], b[mine], term[mine]
+
+        def held(i: int, j: int) -> set:
+            lo, hi = np.searchsorted(x, i), np.searchsorted(x, j, "right")  # noqa: B023
+            return set(t[lo:hi][y[lo:hi] <= j].tolist())  # noqa: B023
+
+        ending: dict[int, list] = {}
+        for p, q, k in zip(x.tolist(), y.tolist(), t.tolist(), strict=True):
+            ending.setdefault(q, []).append((p, k))
+        starting: dict[int, list] = {}
+        count: Counter[int] = Counter()
+        i, before = low, low - 1
+        for j in range(low, high + 1):
+            for p, k in ending.get(j, ()):
+                if p >= i:
+                    starting.setdefault(p, []).append(k)
+                    count[k] += 1
+            while i < j:
+                gone = Counter(starting.get(i, ()))
+                if (len(count) - sum(count[k] == n for k, n in gone.items())) / size < LEAST_AGREEMENT:
+                    break
+                count -= gone
+                i += 1
+            if len(count) / size >= LEAST_AGREEMENT and i > before:
+                before, p, q = i, i, j
+                have = held(p, q)
+                while (p, q) not in out:
+                    if q > p:
+                        out.add((p, q))
+                    wider = [(len(h), u, v, h) for u, v in ((p, q + 1), (p - 1, q)) if low <= u and v <= high for h in [held(u, v)]]
+                    n, u, v, h = max(wider, key=lambda c: c[0], default=(0, p, q, have))
+                    if n <= len(have):
+                        break
+                    p, q, have = u, v, h
+    return out
+
+
+def _statement(model: dict, hits: Hits, some: np.ndarray) -> Statement | None:
+    """What some hits amount to, if they are a licence statement."""
+    have = np.unique(hits.at[some])
+    p = _softmax(((model["w"][have].sum(axis=0) + model["bias"]) / model["temperature"])[None])[0]
+    best = int(p.argmax())
+    if best == len(model["names"]) - 1 or p[best] < LEAST_PROBABILITY:
+        return None
+    agreement, template = max(((float(np.isin(t, have).mean()), k) for k, t in enumerate(model["templates"][best])), key=lambda c: c[0])
+    if agreement < LEAST_AGREEMENT:
+        return None
+    template = model["templates"][best][template]
+    own = some[np.isin(hits.at[some], template)]
+    if len(template) > 1:
+        own = own[hits.last[own] > hits.word[own]]
+    words = frozenset(k for x, y in zip(hits.word[own].tolist(), hits.last[own].tolist(), strict=True) for k in range(x, y + 1))
+    return Statement(int(hits.a[some[0]]), best, float(p[best]), agreement, words)
+
+
+def _settle(found: list[Statement]) -> list[Statement]:
+    """Of statements that rest on the same words the one whose template agrees most."""
+    claimed: dict[int, int] = {}
+    out = []
+    for s in sorted(found, key=lambda s: (-s.agreement, -len(s.words), -s.probability, s.unit)):
+        taken = [claimed[k] for k in s.words if k in claimed]
+        if s.family not in taken and (2 * len(taken) < len(s.words) or not taken):
+            out.append(s)
+            claimed.update(dict.fromkeys(s.words, s.family))
+    return out
+
+
 def classify(model: dict, data: np.ndarray, offs: np.ndarray, sieve: np.ndarray) -> list[tuple[int, int, str, float, float]]:
-    """(text, line, family, probability, agreement) of the paragraphs that are licence statements."""
-    terms, names = model["terms"], model["names"]
+    """(text, line, family, probability, agreement) of the licence statements; line is the first of those it runs over."""
+    terms, names, member = model["terms"], model["names"], model["member"]
     w, grams = ngrams(data, offs)
-    at, unit = [], []
-    for g in grams:
+    at, word, last = [], [], []
+    for n, g in enumerate(grams):
         few = np.flatnonzero(sieve[(g & np.uint64(len(sieve) - 1)).astype(np.int64)])
         k = np.minimum(np.searchsorted(terms, g[few]), len(terms) - 1)
         hit = terms[k] == g[few]
         at.append(k[hit])
-        unit.append(few[hit])
-    at, word = np.concatenate(at), np.concatenate(unit)
+        word.append(few[hit])
+        last.append(few[hit] + n)
+    at, word, last = np.concatenate(at), np.concatenate(word), np.concatenate(last)
     if not len(at):
         return []
-    pairs = np.unique(np.stack([w.unit[word], at, w.text[word]]), axis=1)
+    order = np.argsort(word, kind="stable")
+    hits = Hits(w, at[order], word[order], last[order])
+    inside = hits.a == hits.b
+    pairs = np.unique(np.stack([hits.a[inside], hits.at[inside]]), axis=1)
     first = np.flatnonzero(np.diff(pairs[0], prepend=-1))
     logits = np.add.reduceat(model["w"][pairs[1]], first, axis=0) + model["bias"]
     p = _softmax(logits / model["temperature"])
-    best = p.argmax(axis=1)
-    out = []
-    ends = np.append(first[1:], pairs.shape[1])
+    likely = pairs[0, first[(p.argmax(axis=1) < len(names) - 1) & (p.max(axis=1) >= LEAST_PROBABILITY * 0.999)]]  # _statement has the last word
+    found: dict[int, list[Statement]] = {}
+    for u in likely.tolist():
+        some = hits.within(u, u)
+        s = _statement(model, hits, some)
+        if s is not None:
+            found.setdefault(int(w.part[hits.word[some[0]]]), []).append(s)
+    # runs of lines: stretches without a blank line in which a template is held, with n-grams over line feeds
+    part = w.part[hits.word]
+    crossing = np.unique(part[~inside])
+    mine = np.flatnonzero(np.isin(part, crossing))
+    if len(mine):
+        sizes = member.sum(axis=0)
+        both = np.unique(np.stack([part[mine], hits.at[mine]]), axis=1)
+        over = np.unique(np.stack([part[~inside], hits.at[~inside]]), axis=1)
+        held, crossed = (np.add.reduceat(member[x[1]], np.flatnonzero(np.diff(x[0], prepend=-1)), axis=0, dtype=np.int32) for x in (both, over))
+        wanted = (held / sizes >= LEAST_AGREEMENT) & (crossed > 0)
+        for k in np.flatnonzero(wanted.any(axis=1)).tolist():
+            own = slice(np.searchsorted(part, crossing[k]), np.searchsorted(part, crossing[k], "right"))
+            a, b, t = hits.a[own], hits.b[own], hits.at[own]
+            runs: set[tuple[int, int]] = set()
+            for c in np.flatnonzero(wanted[k]).tolist():
+                of = member[t, c]
+                runs |= _runs(a[of], b[of], t[of], int(sizes[c]))
+            more = [s for i, j in sorted(runs) for s in [_statement(model, hits, hits.within(i, j))] if s is not None]
+            if more:
+                found[int(crossing[k])] = _settle(found.get(int(crossing[k]), []) + more)
     newlines = np.concatenate([[0], np.cumsum(data == 10)])
-    for i in np.flatnonzero((best < len(names) - 1) & (p.max(axis=1) >= LEAST_PROBABILITY)).tolist():
-        have = pairs[1, first[i] : ends[i]]
-        agreement = max(float(np.isin(t, have).mean()) for t in model["templates"][best[i]])
-        if agreement >= LEAST_AGREEMENT:
-            text = int(pairs[2, first[i]])
-            out.append((text, int(pairs[0, first[i]] - text - newlines[offs[text]]), names[best[i]], float(p[i].max()), agreement))
+    out = []
+    for s in sorted(itertools.chain(*found.values()), key=lambda s: (s.unit, names[s.family])):
+        text = int(w.text[np.searchsorted(w.unit, s.unit)])
+        out.append((text, int(s.unit - text - newlines[offs[text]]), names[s.family], s.probability, s.agreement))
     return out
 
 
@@ -162,7 +302,7 @@ def _scanner(model):
 
 
 def licence_paragraphs(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) to a row for each licence statement: doc_id, line (from 0), family, probability, agreement."""
+    """docs (doc_id, text, ...) to a row for each licence statement: doc_id, line (from 0; its first), family, probability, agreement."""
     prepare(docs.sparkSession)
     scan = _scanner(docs.sparkSession.sparkContext.broadcast(train()))
 
@@ -180,7 +320,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) to doc_id, n_paragraphs, n_licences, licence, families, probability: a row for each row.
 
     licence: the family of the likeliest statement, the first of equals, or "unknown"; families: all, sorted, joined by a comma; probability: of the likeliest
-    statement, 0 without one. Paragraphs are lines with a character. Null and empty texts have no paragraphs and are unknown. Rows that
+    statement, 0 without one. n_paragraphs counts lines with a character; a statement may run over several, up to a line without words. Null and empty texts have no paragraphs and are unknown. Rows that
     repeat are scanned one by one; other columns are ignored; no rows give no rows.
     """
     prepare(docs.sparkSession)

@@ -97,6 +97,27 @@ def test_licences(spark):
     assert licences.scan_licences(docs(spark, [])).count() == 0
 
 
+WRAPPED = [
+    ("Copyright (c) 2010, The Authors.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n\n1. Redistributions of source code", "BSD", "BSD,proprietary"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above", "ISC", "ISC"),
+    ("REM Permission is hereby granted, free of charge, to any person obtaining\r\nREM a copy of this software and associated documentation\r\nREM files (the", "MIT", "MIT"),
+    (" * you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2", "GPL", "GPL"),
+    ("you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation", "LGPL", "LGPL"),
+    ("This work is licensed under a Creative Commons Attribution-\nShareAlike 4.0 International License", "CC-BY-SA", "CC-BY-SA"),
+    ("Redistribution and use in source and\nbinary forms, with or without modification, are permitted provided that the following conditions are met".replace(" ", "\n"), "BSD", "BSD"),
+    ("He studied at MIT\nbefore he got a driving\nlicense.\nRedistribution and use\n\nin source and binary forms, with or", "unknown", ""),
+]
+
+
+def test_wrapped_licences(spark):
+    """Statements go on over line feeds, not over blank lines."""
+    rows = [(i, t) for i, (t, _, _) in enumerate(WRAPPED)]
+    got = licences.scan_licences(docs(spark, rows)).orderBy("doc_id").collect()
+    assert [(r.licence, r.families) for r in got] == [w[1:] for w in WRAPPED]
+    hits = licences.licence_paragraphs(docs(spark, rows)).filter("doc_id < 2").orderBy("doc_id", "line").collect()
+    assert [(r.doc_id, r.line, r.family, r.agreement) for r in hits] == [(0, 1, "proprietary", 1.0), (0, 3, "BSD", 1.0), (1, 0, "ISC", 1.0)]
+
+
 def test_films_hold_any_bytes():
     rng = np.random.Generator(np.random.PCG64(3))
     for raw in (b"", b"a", bytes(range(256)), b"\xff" * 1000, rng.integers(0, 256, 70_001, dtype=np.uint8).tobytes()):
