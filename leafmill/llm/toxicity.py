@@ -2,7 +2,8 @@
 
 Terms are words and their first bytes, hashed to 64 bits. score = sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) over
 a text's distinct terms; the pairs say what single terms can't, such as an insult beside the mention of a group.
-The model keeps the terms that tell the classes apart best, a fixed number at most, so it is small enough to broadcast.
+The model keeps the terms that tell the classes apart best, alone or among the texts that hold another term, a fixed
+number of each at most, so it is small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_TERM, Words, blocks, fold_of, prepare, signed
@@ -23,6 +24,9 @@ PREFIXES = (4, 5, 6)
 MAX_TERMS, FACTORS, STEPS = 4096, 4, 150
 #: A term's rates in the two classes must be so many standard deviations apart; few labels thus give few terms, not noise.
 LEAST_DEVIATIONS = 2.5
+#: Beside the terms kept for themselves, so many of the commonest others are tried as one half of pairs; chance lets a pair in at this rate in a whole training.
+COMMON, CHANCE = 512, 0.05
+GROUPS, SLICE, FIT_SLICE = 64, 4096, 1 << 19
 FOLDS, HELD = 5, 0
 
 
@@ -82,8 +86,127 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(signed(terms)), pa.array(np.bincount(back.ravel(), toxic, len(terms)).astype(np.int64)), pa.array(np.bincount(back.ravel(), minlength=len(terms)).astype(np.int64))], names=["term", "pos", "n"])
 
 
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _known_rows(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of their keys: keys, y, and starts and numbers of the terms that each holds."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = sieve_of(terms)
+        for batch in batches:
+            for i, j, data, offs in blocks(batch.column(0)):
+                text, term = known_terms(data, offs, terms, sieve)
+                sizes = np.bincount(text, minlength=j - i)
+                yield pa.record_batch([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(term.astype(np.int16)))], names=["y", "key", "terms"])
+
+    rows = sample.select("text", "y", _row().alias("key")).mapInArrow(found, "y int, key long, terms array<short>").orderBy("key").toArrow()
+    lists = rows.column("terms").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    return rows.column("key").to_numpy(), rows.column("y").to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
+
+
+def evidence(n: np.ndarray, a: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """n KL(a / n, rate): chance gives a of n at this rate with probability exp(-evidence) at most (Chernoff), in each direction."""
+    part = np.divide(a, n, out=np.zeros(np.broadcast(a, n).shape), where=n > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(part > 0, part * np.log(part / rate), 0) + np.where(part < 1, (1 - part) * np.log((1 - part) / (1 - rate)), 0)
+    return np.where((n > 0) & (rate > 0) & (rate < 1), n * out, 0)
+
+
+def pair_terms(sample: DataFrame, kept: np.ndarray, common: np.ndarray, n_terms: int, most: int) -> np.ndarray:
+    """Terms not in `kept` that tell the classes apart among the texts that hold a term of `kept` or `common`, and those partners; sorted.
+
+    All terms of three texts or more are tried with all partners, over the whole sample; the bar rises with the number of trials.
+    """
+    seeds = np.sort(np.concatenate([kept, common]))
+    keys, y, start, flat = _known_rows(sample, seeds)
+    context = sample.sparkSession.sparkContext
+    shared = context.broadcast((seeds, keys, y, start, flat))
+    bar = np.log(4 * max(n_terms, 1) * max(len(seeds), 1) / CHANCE)
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value[1]
+        for batch in batches:
+            row = np.searchsorted(keys, batch.column(1).to_numpy())
+            for i, _, data, offs in blocks(batch.column(0)):
+                text, h = (np.concatenate(x) for x in zip(*term_hashes(data, offs), strict=True))
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                first = (np.diff(text, prepend=-1) != 0) | np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+                text, h = text[first], h[first]
+                if len(kept):
+                    new = kept[np.minimum(np.searchsorted(kept, h), len(kept) - 1)] != h
+                    text, h = text[new], h[new]
+                g, row_of = (h % np.uint64(GROUPS)).astype(np.int32), row[i + text].astype(np.int32)
+                order = np.lexsort((h, g))
+                g, h, row_of = g[order], h[order], row_of[order]
+                cut = np.flatnonzero(np.diff(g, prepend=-1))
+                cols = [(int(g[x]), *packed(h[x:y], row_of[x:y])) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True)]
+                if cols:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cols, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["g", "terms", "counts", "rows"])
+
+    def packed(h: np.ndarray, row: np.ndarray) -> tuple[bytes, bytes, bytes]:
+        """Terms once with their counts, and rows, in planes of bytes, which compress."""
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.append(first, len(h))).astype(np.int32)
+        return h[first].tobytes(), n.view(np.uint8).reshape(-1, 4).T.tobytes(), row.view(np.uint16).reshape(-1, 2).T.tobytes()
+
+    def unpacked(terms: bytes, counts: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        return np.repeat(np.frombuffer(terms, np.int64), n), np.ascontiguousarray(np.frombuffer(rows, np.uint16).reshape(2, -1).T).view(np.int32).ravel()
+
+    def judged(table: pa.Table) -> pa.Table:
+        seeds, _, y, start, flat = shared.value
+        size, width = np.diff(start), len(seeds)
+        of = np.repeat(np.arange(len(size)), size)
+        n_seed, p_seed = np.bincount(flat, minlength=width), np.bincount(flat, y[of], width)
+        rate = p_seed / np.maximum(n_seed, 1)
+        both = [unpacked(*(v.as_py() for v in r)) for r in zip(*(table.column(c) for c in ("terms", "counts", "rows")), strict=True)]
+        term, row = (np.concatenate(x) for x in zip(*both, strict=True))
+        order = np.argsort(term, kind="stable")
+        term, row = term[order], row[order]
+        names, first, count = np.unique(term, return_index=True, return_counts=True)
+        out = []
+
+        def counted(at: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+            n = size[rows]
+            if not n.sum():
+                return np.zeros((k, width))
+            where = np.arange(n.sum()) + np.repeat(start[rows] - np.cumsum(n) + n, n)
+            return np.bincount(np.repeat(at, n) * width + flat[where], minlength=k * width).reshape(k, width).astype(np.float64)
+
+        many = np.flatnonzero(count >= 3)
+        while len(many):
+            k = max(1, min(int(np.searchsorted(np.cumsum(count[many]), SLICE, "right")), SLICE // 16))
+            now, many = many[:k], many[k:]
+            n, a = np.zeros((k, width)), np.zeros((k, width))
+            rows = np.concatenate([row[first[t] : first[t] + count[t]] for t in now])
+            at = np.repeat(np.arange(k), count[now])
+            for i in range(0, len(rows), SLICE):
+                r, t = rows[i : i + SLICE], at[i : i + SLICE]
+                n += counted(t, r, k)
+                a += counted(t[y[r] == 1], r[y[r] == 1], k)
+            x = np.nonzero(n >= 3)  # fewer texts can't reach the bar, neither by holding the term nor by lacking it
+            m, b, of_seed = n[x], a[x], x[1]
+            sure = np.zeros((k, width))
+            sure[x] = np.maximum(evidence(m, b, rate[of_seed]), evidence(n_seed[of_seed] - m, p_seed[of_seed] - b, rate[of_seed]))
+            sure[signed(seeds)[None, :] == names[now][:, None]] = 0
+            best = sure.argmax(axis=1)
+            out += [(int(names[t]), int(signed(seeds)[b]), float(v)) for t, b, v in zip(now, best, sure[np.arange(k), best], strict=True) if v >= bar]
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["term", "partner", "evidence"])
+
+    pairs = sample.select("text", _row().alias("key")).mapInArrow(postings, "g int, terms binary, counts binary, rows binary").groupBy("g").applyInArrow(judged, "term long, partner long, evidence double")
+    got = pairs.orderBy(F.col("evidence").desc(), "term").limit(most).collect()
+    shared.unpersist()
+    pa.default_memory_pool().release_unused()
+    return np.unique(np.array([x for r in got for x in (r.term, r.partner)], np.int64).view(np.uint64))
+
+
 def fit(x_text: np.ndarray, x_term: np.ndarray, y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, decay: float = 2e-4) -> Machine:
-    """Full-batch Adam on the logistic loss."""
+    """Full-batch Adam on the logistic loss; x_text ascends."""
     n, k = len(y), len(terms)
     rng = np.random.Generator(np.random.PCG64(9))
     rate = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
@@ -91,12 +214,20 @@ def fit(x_text: np.ndarray, x_term: np.ndarray, y: np.ndarray, terms: np.ndarray
     if not n or not k or y.min() == y.max():
         return Machine(terms, float(theta[0][0]), theta[1], np.zeros((factors, k)))
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+    # the whole batch, a slice of texts at a time: arrays over all terms of all texts would fill the driver
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(x_text, x_text[FIT_SLICE::FIT_SLICE]), [len(x_text)]])).tolist()
+    parts = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    bounds = [0, *(int(x_text[p.start]) for p in parts[1:]), n]
     for step in range(1, steps + 1):
         b, w, v = theta
-        g = (Machine(terms, float(b[0]), w, v).scores(x_text, x_term, n) - y) / n
-        gt = g[x_text]
-        dv = np.stack([np.bincount(x_term, gt * (np.bincount(x_text, f[x_term], n)[x_text] - f[x_term]), k) for f in v])
-        for i, d in enumerate((np.array([g.sum()]), np.bincount(x_term, gt, k) + decay * w, dv + decay * v)):
+        g, dw, dv = np.zeros(n), np.zeros(k), np.zeros((factors, k))
+        for p, t0, t1 in zip(parts, bounds[:-1], bounds[1:], strict=True):
+            text, term = x_text[p] - t0, x_term[p]
+            g[t0:t1] = (Machine(terms, float(b[0]), w, v).scores(text, term, t1 - t0) - y[t0:t1]) / n
+            gt = g[t0:t1][text]
+            dw += np.bincount(term, gt, k)
+            dv += np.stack([np.bincount(term, gt * (np.bincount(text, f[term], t1 - t0)[text] - f[term]), k) for f in v])
+        for i, d in enumerate((np.array([g.sum()]), dw + decay * w, dv + decay * v)):
             first[i] = 0.9 * first[i] + 0.1 * d
             second[i] = 0.99 * second[i] + 0.01 * d * d
             theta[i] = theta[i] - 0.08 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
@@ -113,8 +244,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms
     gap = F.abs(have - want) / F.sqrt((F.col("n") + 2) / F.lit(max(n, 1.0)))
     rate = (F.col("n") + 2) / F.lit(n + 4)
     sure = F.abs(have - want) >= LEAST_DEVIATIONS * F.sqrt(rate * (1 - rate) * F.lit(1 / max(p, 1.0) + 1 / max(n - p, 1.0)))
-    best = [r.term for r in counts.filter(sure).orderBy(gap.desc(), "term").limit(max_terms).select("term").collect()]
+    counts = counts.select("term", "n", sure.alias("sure"), gap.alias("gap")).persist()
+    best = [r.term for r in counts.filter("sure").orderBy(F.col("gap").desc(), "term").limit(max_terms).select("term").collect()]
     terms = np.sort(np.array(best, np.int64).view(np.uint64))
+    if 0 < p < n:
+        others = counts.filter(~F.coalesce("sure", F.lit(False)) & (F.col("n") < n)).orderBy(F.col("n").desc(), "term").limit(COMMON).select("term").collect()
+        common = np.array([r.term for r in others], np.int64).view(np.uint64)
+        terms = np.union1d(terms, pair_terms(sample, terms, common, counts.count(), max_terms)) if len(terms) + len(common) else terms
+    counts.unpersist()
     if not len(terms):
         return fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), terms)
 
@@ -130,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms
     lists = rows.column("terms").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
-    return fit(np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), rows.column("y").to_numpy().astype(float), terms)
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.flatten().to_numpy(), rows.column("y").to_numpy().astype(float), terms)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:

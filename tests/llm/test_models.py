@@ -64,6 +64,21 @@ def test_machine_learns_pairs():
     assert ((m.scores(text, term, 4000) >= 0.5) == y).mean() > 0.95
 
 
+def test_training_keeps_pairs(spark):
+    """The terms of a pair reach the machine though each is as common in both classes."""
+    rows = []
+    for i in range(3000):
+        a, b = i % 2, i // 2 % 2
+        rows.append((i, " ".join(["plain", f"n{i % 37}", *["ant"] * a, *["bee"] * b]), a == b))
+    d, y = docs(spark, [r[:2] for r in rows]), labels_of(spark, [(i, 0, int(t)) for i, _, t in rows])
+    m = toxicity.train(d, y)
+    data = np.frombuffer(b"ant bee", np.uint8)
+    both = np.concatenate([h for _, h in toxicity.term_hashes(data, np.array([0, len(data)]))])
+    assert np.isin(both, m.terms).all()
+    got = {r.doc_id: r for r in toxicity.score_toxicity(d, y).collect()}
+    assert np.mean([got[i].predicted == t for i, _, t in rows if got[i].held_out]) > 0.95
+
+
 def test_rules_compile_to_what_they_mean(spark):
     rng = np.random.Generator(np.random.PCG64(2))
     x = rng.random((300, len(quality.STATS)))
