@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -135,24 +136,56 @@ def short_merges(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def heap_merges(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same ids for a long word, in n log n."""
-    n = len(raw)
-    part, after, before = [raw[i : i + 1] for i in range(n)], list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, part[i] + part[i + 1]) for i in range(n - 1) if (r := ranks.get(part[i] + part[i + 1])) is not None]
+def heap_merges(raw: bytes, ranks: dict[bytes, int], names: list[bytes] | None = None) -> list[int]:
+    """The same ids for a long word, in n log n, with some 60 bytes of memory for each of its bytes. ranks in order of id; names: its keys."""
+    names, n, bits = names or list(ranks), len(raw), (1 << 40) - 1
+    single = [ranks[bytes([b])] for b in range(256)]
+    part, after, before = array("i", [single[b] for b in raw]), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    rank = lambda i, j: ranks.get(names[part[i]] + names[part[j]], NO_RANK)
+    heap = [r << 40 | i for i in range(n - 1) if (r := rank(i, i + 1)) != NO_RANK]
     heapq.heapify(heap)
     while heap:
-        _, i, both = heapq.heappop(heap)
+        top = heapq.heappop(heap)
+        r, i = top >> 40, top & bits
         j = after[i]
-        if part[i] is None or j >= n or part[i] + part[j] != both:
+        if part[i] < 0 or j >= n or rank(i, j) != r:
             continue
-        part[i], part[j], after[i] = both, None, after[j]
+        part[i], part[j], after[i] = r, -1, after[j]
         if after[j] < n:
             before[after[j]] = i
         for a in (before[i], i):
-            if a >= 0 and (b := after[a]) < n and (r := ranks.get(part[a] + part[b])) is not None:
-                heapq.heappush(heap, (r, a, part[a] + part[b]))
-    return [ranks[p] for p in part if p is not None]
+            if a >= 0 and (b := after[a]) < n and (r := rank(a, b)) != NO_RANK:
+                heapq.heappush(heap, r << 40 | a)
+    return [p for p in part if p >= 0]
+
+
+class Merger:
+    """Ids of words by plain merges; short words are kept, CACHE_WORDS at most."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.ranks, self.known = tokens, {t: i for i, t in enumerate(tokens)}, {}
+
+    def __call__(self, word: bytes) -> list[int]:
+        out = self.known.get(word)
+        if out is None:
+            out = heap_merges(word, self.ranks, self.tokens) if len(word) > SHORT_BYTES else short_merges(word, self.ranks)
+            if len(self.known) < CACHE_WORDS and len(word) <= HOT_BYTES:
+                self.known[word] = out
+        return out
+
+    def runs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the words, and the ids, end to end."""
+        own = [self(w) for w in words]
+        return np.array([len(o) for o in own], np.int64), np.array([x for o in own for x in o], np.uint16)
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, which: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The distinct matches among those numbered in `which` (all, unless given), and which of them each is; told apart by their bytes."""
+    raw = data.tobytes()
+    a, b = (starts[:-1], starts[1:]) if which is None else (starts[which], starts[which + 1])
+    number: dict[bytes, int] = {}
+    back = np.array([number.setdefault(raw[x:y], len(number)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    return list(number), back
 
 
 def match_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -217,51 +250,45 @@ def expand(sizes: np.ndarray, ends: np.ndarray, flat: np.ndarray, pick: np.ndarr
     return flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(ends[pick] - upto, size)]
 
 
-def _encoded(hot, tokens, names: list[str], want_ids: bool):
+def _encoded(hot, tokens, names: list[str], more: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, tok = Dictionary(*hot.value), tokens.value
-        ranks = {t: i for i, t in enumerate(tok)}
         runs = []
         for parts in ([b"%d " % i for i in range(len(tok))], tok):  # ids as they are shown, and their bytes
             s = np.array([len(x) for x in parts], np.int64)
             runs.append((s, np.cumsum(s), np.frombuffer(b"".join(parts), np.uint8)))
-        hot_ends = np.cumsum(d.sizes)
-        known: dict[bytes, list[int]] = {}
-
-        def merges(word: bytes) -> list[int]:
-            out = known.get(word)
-            if out is None:
-                out = heap_merges(word, ranks) if len(word) > SHORT_BYTES else short_merges(word, ranks)
-                if len(known) < CACHE_WORDS and len(word) <= HOT_BYTES:
-                    known[word] = out
-            return out
+        hot_ends, merger = np.cumsum(d.sizes), Merger(tok)
+
+        def ids_of(data: np.ndarray, starts: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the matches, end to end, and how many each has; code: their numbers in the dictionary, or -1."""
+            miss, sizes, ends, flat = np.flatnonzero(code < 0), d.sizes, hot_ends, d.flat
+            if len(miss):
+                words, back = distinct_words(data, starts, miss)
+                n, own = merger.runs(words)
+                sizes, ends, flat = np.concatenate([sizes, n]), np.concatenate([ends, np.cumsum(n) + len(flat)]), np.concatenate([flat, own])
+                code[miss] = len(d.sizes) + back
+            return expand(sizes, ends, flat, code), sizes[code]
 
         for batch in batches:
             for i, j, data, offs in blocks(batch.column(len(names))):
                 starts, match_of = pretokens(data, offs)
-                h = match_hashes(data, starts)
-                code = d.find(h).astype(np.int64)
-                miss = np.flatnonzero(code < 0)
-                sizes, ends, flat = d.sizes, hot_ends, d.flat
-                if len(miss):
-                    _, index, back = np.unique(h[miss], return_index=True, return_inverse=True)
-                    raw, a, b = data.tobytes(), starts[miss[index]].tolist(), starts[miss[index] + 1].tolist()
-                    own = [merges(raw[x:y]) for x, y in zip(a, b, strict=True)]
-                    n = np.array([len(o) for o in own], np.int64)
-                    sizes, ends = np.concatenate([sizes, n]), np.concatenate([ends, np.cumsum(n) + len(flat)])
-                    flat = np.concatenate([flat, np.array([x for o in own for x in o], np.uint16)])
-                    code[miss] = len(d.sizes) + back.ravel()
-                ids = expand(sizes, ends, flat, code)
-                upto = np.concatenate([[0], np.cumsum(sizes[code])])[match_of]
+                ids, per = ids_of(data, starts, d.find(match_hashes(data, starts)).astype(np.int64))
+                back = expand(*runs[1], ids)
+                if not np.array_equal(back, data):  # a word shares its hash with another one in the dictionary: go by bytes
+                    ids, per = ids_of(data, starts, np.full(len(starts) - 1, -1, np.int64))
+                    back = expand(*runs[1], ids)
+                upto = np.concatenate([[0], np.cumsum(per)])[match_of]
                 hashed, raw = [], b""
                 for (s, e, f), cut in zip(runs, (1, 0), strict=True):
-                    raw = expand(s, e, f, ids).tobytes()
+                    raw = (expand(s, e, f, ids) if cut else back).tobytes()
                     at = np.concatenate([[0], np.cumsum(s[ids])])[upto].tolist()
                     hashed.append([hashlib.sha256(raw[x : max(x, y - cut)]).hexdigest() for x, y in zip(at, at[1:])])  # noqa: B905
                 columns = [*(batch.column(c).slice(i, j - i) for c in range(len(names))), pa.array(np.diff(upto), pa.int64()), *(pa.array(x, pa.string()) for x in hashed)]
-                if want_ids:
-                    columns += [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())]  # noqa: B905
-                yield pa.record_batch(columns, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * want_ids]])
+                if "ids" in more:
+                    columns.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))))
+                if "decoded" in more:
+                    columns.append(pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary()))  # noqa: B905
+                yield pa.record_batch(columns, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *more])
 
     return run
 
@@ -290,9 +317,12 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def encode_decode(docs: DataFrame, path: str, keys: list[str] | None = None, text: str = "text", ids: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, keys: list[str] | None = None, text: str = "text", ids: bool = False, decoded: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
     """docs to keys, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>) and decoded (binary): a row for each row.
 
+    Every block of texts is decoded and held against its own bytes: where a word shares its 64-bit hash with another, the block is encoded again by the words' bytes. Very
+    long texts are a block of their own, and long words are merged in n log n.
+
     Each match of the pattern is encoded by the ranks in the file at path, without special tokens; the ids are then
     decoded. Null counts as empty: no tokens, digests of nothing. keys: the columns that are carried along, doc_id unless named;
     others are ignored. Rows that repeat are encoded one by one. No rows give no rows.
@@ -305,5 +335,7 @@ def encode_decode(docs: DataFrame, path: str, keys: list[str] | None = None, tex
     hot = spark.sparkContext.broadcast(dictionary(docs, tokens, text, hot_words))
     listed = spark.sparkContext.broadcast(tokens)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[k] for k in keys))
-    more = ", ids array<int>, decoded binary" if ids else ""
-    return docs.select(*keys, F.col(text)).mapInArrow(_encoded(hot, listed, keys, ids), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    more = {"ids": "array<int>"} if ids else {}
+    more |= {"decoded": "binary"} if decoded else {}
+    kinds = "".join(f", {n} {k}" for n, k in more.items())
+    return docs.select(*keys, F.col(text)).mapInArrow(_encoded(hot, listed, keys, list(more)), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{kinds}")

@@ -42,7 +42,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns of documents but the text, with ids, their number and digests; the ids were decoded and gave the text's bytes back."""
+    """Columns of documents but the text, with ids, their number and digests; encode_decode holds the decoded bytes against the text's own."""
     keys = [c for c in docs.columns if c != "text"]
-    out = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keys=keys, ids=True)
-    return out.drop("decoded")
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keys=keys, ids=True)

@@ -14,22 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load_ranks
-from .common import prepare
+from .bpe import Merger, distinct_words, expand, load_ranks
+from .common import blocks, prepare
+from .pretokens import pretokens
 
 
 def lines(text: str) -> list[int]:
-    """Starts of the lines; a line feed belongs to the line that it ends. No text has no lines."""
-    out, at = [0] if text else [], text.find("\n")
+    """Starts of the lines; a line feed belongs to the line that it ends. No text is one empty line."""
+    out, at = [0], text.find("\n")
     while 0 <= at < len(text) - 1:
         out.append(at + 1)
         at = text.find("\n", at + 1)
     return out
 
 
-def char_spans(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of these byte sizes, in order, to the characters that each has a byte of: [start, end)."""
-    lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+def char_spans(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of these byte sizes, in order, to the characters that each has a byte of: [start, end). raw: the bytes."""
+    lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     ends = np.cumsum(sizes)
     return lead[ends - sizes + 1] - 1, lead[ends]
 
@@ -51,11 +52,24 @@ def attribute(start: np.ndarray, end: np.ndarray, sections: np.ndarray, rule: st
     return np.bincount(to, minlength=n), touched
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str, sections: Callable[[str], list[int]] = lines, rule: str = "most", key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_sizes(data: np.ndarray, offs: np.ndarray, merger: Merger, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes in bytes of the tokens of a block of texts, and the first token of each text, with a sentinel.
+
+    Each distinct match of the pattern is encoded once a block; long ones, as runs of white space, in n log n.
+    """
+    starts, match_of = pretokens(data, offs)
+    words, back = distinct_words(data, starts)
+    n, ids = merger.runs(words)
+    sizes = expand(n, np.cumsum(n), length[ids], back)
+    return sizes, np.concatenate([[0], np.cumsum(n[back])])[match_of]
+
+
+def count_tokens(docs: DataFrame, path: str, sections: Callable[[str], list[int]] = lines, rule: str = "most", key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs to a row for each section: key, section, start_char, end_char, n_tokens, n_crossing.
 
     n_tokens of a document add up to its whole encoding by the ranks at path; n_crossing counts tokens that lie in this section
-    and another. sections gives ascending section starts, 0 first. Null and empty texts have no sections and no rows. Repeated rows repeat their rows; other
+    and another. sections gives ascending section starts, 0 first. Null and empty texts have one section without tokens. Very long texts, lines and runs of
+    one kind of character are encoded whole; a text beyond a megabyte is a block of its own. Repeated rows repeat their rows; other
     columns are ignored; no rows give no rows.
     """
     if rule not in ("most", "first", "last"):
@@ -65,24 +79,20 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: Callable[[s
     tokens = spark.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        tok = tokens.value
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tok)}, special_tokens={})
-        length = np.array([len(t) for t in tok])
+        merger, length = Merger(tokens.value), np.array([len(t) for t in tokens.value], np.int64)
         for batch in batches:
-            keys, index, parts = batch.column(0), [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if not t:
-                    continue
-                ids = np.asarray(encoding.encode_ordinary(t), np.int64)
-                starts = np.array(sections(t), np.int64)
-                n, crossing = attribute(*char_spans(t.encode(), length[ids]), starts, rule)
-                index.append(np.full(len(starts), i))
-                parts.append(np.stack([np.arange(len(starts)), starts, np.append(starts[1:], len(t)), n, crossing]))
-            if index:
+            for i, j, data, offs in blocks(batch.column(1)):
+                sizes, first = token_sizes(data, offs, merger, length)
+                index, parts = [], []
+                for d in range(j - i):
+                    raw = data[offs[d] : offs[d + 1]]
+                    whole = raw.tobytes().decode()
+                    starts = np.array(sections(whole), np.int64)
+                    n, crossing = attribute(*char_spans(raw, sizes[first[d] : first[d + 1]]), starts, rule)
+                    index.append(np.full(len(starts), i + d))
+                    parts.append(np.stack([np.arange(len(starts)), starts, np.append(starts[1:], len(whole)), n, crossing]))
                 at, cols = np.concatenate(index), np.concatenate(parts, axis=1)
-                yield pa.record_batch([keys.take(pa.array(at)), pa.array(cols[0].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], names=["key", "section", "start_char", "end_char", "n_tokens", "n_crossing"])
+                yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(cols[0].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], names=["key", "section", "start_char", "end_char", "n_tokens", "n_crossing"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, section int, start_char long, end_char long, n_tokens long, n_crossing long").withColumnRenamed("key", key)
