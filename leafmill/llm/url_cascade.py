@@ -2,8 +2,9 @@
 
 Level 1 encodes the listed keys; level 2 those keys of the corpus that level 1 takes wrongly for listed; level 3 the
 listed ones that level 2 takes for wrong, and so on, until a level errs on nothing. Over the whole universe of keys that the
-corpus holds, the last level that a key passes then says exactly whether it is listed. The filters are literals in the
-expression: looking a key up takes bit tests, no join. Their size depends on the list, not on the corpus.
+corpus holds, the last level that a key passes then says exactly whether it is listed. A level is one array of words, filled by an
+aggregation and read as a scalar subquery, so it stands in no text of a plan and never comes to the driver's Python; looking a key up
+takes bit tests, no join. Its size depends on the list, not on the corpus, and is checked against MAX_BITS.
 """
 
 from __future__ import annotations
@@ -14,39 +15,52 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import prepare
+
 #: verdict, host, path
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Bits of a level at most (64 MB, sent to each executor once); some 40 million listed keys with a false positive in a thousand.
+MAX_BITS = 1 << 29
+#: Pairs of label count and path length among rules, at most.
+MAX_SHAPES = 256
 
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter: 32-bit words, their number of bits and how many bits a key sets."""
+    """A Bloom filter: a one-row table with its 64-bit words as an array, the number of bits and how many bits a key sets."""
 
-    words: tuple[int, ...]
+    table: DataFrame
     bits: int
     hashes: int
     seed: int
 
     def has(self, key: Column) -> Column:
-        words, test = F.array(*(F.lit(w).cast("long") for w in self.words)), F.lit(True)
+        words, test = self.table.scalar(), F.lit(True)
         for at in positions(key, self.bits, self.hashes, self.seed):
-            test = test & (F.getbit(F.get(words, F.shiftright(at, 5)), at % 32) == 1)
+            test = test & (F.getbit(F.get(words, F.shiftright(at, 6)), at % 64) == 1)
         return test
 
 
 def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + i)), F.lit(bits)).cast("int") for i in range(hashes)]
+    """Two hashes give all positions (Kirsch and Mitzenmacher)."""
+    a, b = F.xxhash64(key, F.lit(2 * seed)), F.xxhash64(key, F.lit(2 * seed + 1)).bitwiseOR(F.lit(1))
+    mixed = lambda i: F.call_function("shiftright", a, F.lit(20)) + F.call_function("shiftright", b, F.lit(20)) * F.lit(i)
+    return [F.pmod(mixed(i), F.lit(bits)).cast("int") for i in range(hashes)]
 
 
 def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A filter over keys (key) with about this rate of false positives. At most one row for each word comes to the driver."""
-    bits = max(64, 32 * math.ceil(n * math.log(1 / rate) / math.log(2) ** 2 / 32))
+    """A filter over keys (key) with about this rate of false positives. ValueError if it would pass MAX_BITS."""
+    bits = max(64, 64 * math.ceil(n * math.log(1 / rate) / math.log(2) ** 2 / 64))
+    if bits > MAX_BITS:
+        raise ValueError(f"a filter of {n} keys takes {bits} bits; {MAX_BITS} is the most: split the list, or join with it")
     hashes = max(1, round(bits / max(n, 1) * math.log(2))) if n * 8 > bits else max(1, math.ceil(-math.log2(rate)))
     at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, seed))).alias("at"))
-    words = [0] * (bits // 32)
-    for row in at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 32)).alias("mask")).collect():
-        words[row.word] = row.mask
-    return Level(tuple(words), bits, hashes, seed)
+    masks = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 64)).alias("mask"))
+    # the words that hold a bit, in order, put into the array of all: a gap is filled by its length
+    held = masks.agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("held"))
+    word = lambda e, i: F.when(i == 0, e.word).otherwise(e.word - F.get("held", i - 1).word - 1)
+    filled = F.flatten(F.transform("held", lambda e, i: F.array_append(F.array_repeat(F.lit(0).cast("long"), word(e, i)), e.mask)))
+    return Level(held.select(filled.alias("words")).checkpoint(), bits, hashes, seed)
 
 
 def member(levels: list[Level], key: Column) -> Column:
@@ -85,31 +99,40 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(host: Column, path: Column, rules: tuple = RULES) -> list[Column]:
+def rule_table(spark: SparkSession, rules: tuple) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules))))
+
+
+def shapes_of(rules: DataFrame) -> list[tuple[int, int]]:
+    """(labels of the host, length of the path) that rules have, longest first; ValueError beyond MAX_SHAPES, as each is a look-up for each URL."""
+    shapes = rules.select((F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("labels"), F.length("path").alias("size")).distinct().limit(MAX_SHAPES + 1).collect()
+    if len(shapes) > MAX_SHAPES:
+        raise ValueError(f"rules of more than {MAX_SHAPES} shapes")
+    return sorted(((r.labels, r["size"]) for r in shapes), key=lambda s: (-s[0], -s[1]))
+
+
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> list[Column]:
     """Every key that could be a rule of this URL: its last labels by the rules' label counts, its path's start by their path lengths; longest first."""
-    shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules}, key=lambda s: (-s[0], -s[1]))
     return [F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length)) for labels, length in shapes]
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple | DataFrame = RULES, default: str = "allow") -> DataFrame:
     """pages (page_id, url, ...) to page_id, host, path, rule, verdict.
 
-    A rule (verdict, host, path) fits its host and all subdomains if the URL's path starts with its path; the longest
+    rules: tuples, or a table of these columns, with millions of rows if need be. A rule (verdict, host, path) fits its host and all subdomains if the URL's path starts with its path; the longest
     fitting rule wins (more labels, then the longer path). Its two lists, block and allow, are a cascade each. Without a rule the verdict is the method's:
     a key in no list is `default`. Null URLs and URLs without :// have empty host and path and the default verdict.
-    Repeated rows are judged one by one, other columns are ignored, and no rows give no rows.
+    URLs of any length are cut whole; a key is as long as the longest rule at most. Repeated rows are judged one by one, other columns are ignored, and no rows give no rows.
     """
-    if not pages.sparkSession.sparkContext.getCheckpointDir():
-        from .common import prepare
-
-        prepare(pages.sparkSession)
+    prepare(pages.sparkSession)
     host, path = url_parts(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), rules)
-    universe = cut.select(F.explode(F.array(*keys)).alias("key")).distinct().checkpoint()
     spark = pages.sparkSession
-    lists = {v: spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "key string") for v in sorted({r[0] for r in rules})}
-    levels = {v: cascade(own, universe) for v, own in lists.items()}
+    listed = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+    keys = candidate_keys(F.col("host"), F.col("path"), shapes_of(listed))
+    universe = cut.select(F.explode(F.array(*keys)).alias("key")).distinct().checkpoint()
+    verdicts = sorted(r[0] for r in listed.select("verdict").distinct().collect())
+    levels = {v: cascade(listed.filter(F.col("verdict") == v).select(F.concat("host", "path").alias("key")), universe) for v in verdicts}
     found = F.coalesce(*(F.when(member(levels[v], k), F.struct(k.alias("rule"), F.lit(v).alias("verdict"))) for k in keys for v in levels))
     return cut.withColumn("hit", found).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 

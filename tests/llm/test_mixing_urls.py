@@ -70,3 +70,25 @@ def test_cascade_is_exact(spark):
     got = universe.distinct().filter(U.member(levels, F.col("key"))).collect()
     assert {r.key for r in got} == listed - {"absent"}
     assert U.cascade(spark.createDataFrame([], "key string"), universe) == []
+
+
+def test_large_lists_stay_out_of_plans_and_of_the_driver(spark, monkeypatch):
+    """A million listed keys; the filters are run-time values, so that the plan's text does not grow with the list."""
+    listed = spark.range(1_000_000).select(F.concat(F.lit("h"), "id").alias("key"))
+    universe = spark.range(900_000, 1_100_000).select(F.concat(F.lit("h"), "id").alias("key"))
+    levels = U.cascade(listed, universe)
+    got = universe.select(F.substring("key", 2, 20).cast("long").alias("i"), U.member(levels, F.col("key")).alias("m"))
+    assert got.filter(F.col("m") != (F.col("i") < 1_000_000)).isEmpty()
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    monkeypatch.setattr(U, "MAX_BITS", 1 << 10)
+    with pytest.raises(ValueError, match="the most"):
+        U.cascade(listed, universe)
+
+
+def test_rules_as_a_table_and_long_urls(spark):
+    rules = spark.createDataFrame([("block", f"h{i}.org", "/a/") for i in range(3000)] + [("allow", "x.h7.org", "/a/b"), ("block", "", "/z")], "verdict string, host string, path string")
+    long = "http://a.h7.org/a/" + "p" * 500_000
+    urls = [(1, long), (2, "http://x.h7.org/a/b" + "q" * 100_000), (3, "http://h2999.org/a/?x"), (4, "http://h3000.org/a/"), (5, "http://h7.org/b/"), (1, long)]
+    got = sorted((r.page_id, r.rule, r.verdict) for r in U.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect() if r.rule or r.page_id > 3)
+    assert got == [(1, "h7.org/a/", "block"), (1, "h7.org/a/", "block"), (2, "x.h7.org/a/b", "allow"), (3, "h2999.org/a/", "block"), (4, None, "allow"), (5, None, "allow")]
+    assert U.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
