@@ -164,6 +164,85 @@ def test_shots_and_clips(spark):
     levels = np.concatenate([np.full((20, per_frame), v, np.uint8) for v in (10, 120, 240)])
     assert avi.shots(levels) == [0, 20, 40] and avi.shots(levels[:1]) == [0] and avi.shots(levels[:20]) == [0]
     media = spark.createDataFrame([(1, bytearray(avi.write_avi(levels.tobytes()))), (2, None), (3, bytearray(b"no film"))], "doc_id long, media binary")
-    got = avi.clips(media).orderBy("clip").collect()
-    assert [(r.doc_id, r.first_frame, r.n_frames, r.start_s, r.end_s, round(r.level)) for r in got] == [(1, 0, 20, 0.0, 0.8, 10), (1, 20, 20, 0.8, 1.6, 120), (1, 40, 20, 1.6, 2.4, 240)]
+    got = avi.clips(media).orderBy("doc_id", "clip").collect()
+    assert [(r.doc_id, r.clip, r.error) for r in got[3:]] == [(2, None, "not an AVI file"), (3, None, "not an AVI file")]
+    assert [(r.doc_id, r.first_frame, r.n_frames, r.start_s, r.end_s, round(r.level)) for r in got[:3]] == [(1, 0, 20, 0.0, 0.8, 10), (1, 20, 20, 0.8, 1.6, 120), (1, 40, 20, 1.6, 2.4, 240)]
     assert avi.films(docs(spark, [(1, "abc")])).select(F.length("media")).first()[0] > 64
+
+
+def jpeg_of(spark, rgb):
+    """A colour JPEG by Java's own writer: baseline, chroma at half size, standard Huffman tables."""
+    jvm, (h, w, _) = spark._jvm, rgb.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, 1)
+    for y in range(h):
+        for x in range(w):
+            image.setRGB(x, y, int.from_bytes(rgb[y, x].tobytes(), "big"))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def without(jpeg, mark):
+    at, out = 2, jpeg[:2]
+    while jpeg[at + 1] != 0xDA:
+        size = int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        out += b"" if jpeg[at + 1] == mark else jpeg[at : at + 2 + size]
+        at += 2 + size
+    return out + jpeg[at:]
+
+
+def avi_of(frames, parts=1, index=True, rec=False):
+    """A film of JPEG files, in several RIFF parts, with or without an index and "rec " lists, and with an audio stream before the video."""
+    chunk = avi._chunk
+    audio, video = (chunk(b"LIST", b"strl" + chunk(b"strh", t + b"\0" * 16 + (1).to_bytes(4, "little") + (10).to_bytes(4, "little") + b"\0" * 20)) for t in (b"auds", b"vids"))
+    out, each = b"", -(-len(frames) // parts)
+    for p in range(parts):
+        body, entries = b"movi", b""
+        for f in frames[p * each : (p + 1) * each]:
+            for name, data in ((b"00wb", b"sound"), (b"01dc", f)):
+                entries += name + (0x10).to_bytes(4, "little") + len(body).to_bytes(4, "little") + len(data).to_bytes(4, "little")
+                body += chunk(b"LIST", b"rec " + chunk(name, data)) if rec else chunk(name, data)
+        head = chunk(b"LIST", b"hdrl" + audio + video) if not p else b""
+        out += chunk(b"RIFF", (b"AVIX" if p else b"AVI ") + head + chunk(b"LIST", body) + (chunk(b"idx1", entries) if index and not p else b""))
+    return out
+
+
+def test_colour_films_of_another_writer(spark):
+    """Frames of Java's writer, with their tables and without, in all layouts; block means against the pictures' own luminance."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    pictures = [np.kron(rng.integers(0, 256, (3, 4, 3), dtype=np.uint8), np.ones((8, 8, 1), np.uint8))[:21, :30] for _ in range(3)]
+    frames = [jpeg_of(spark, p) for p in pictures]
+    bare = [without(f, 0xC4) for f in frames]
+    assert all(len(b) < len(f) for b, f in zip(bare, frames, strict=True))
+    for layout in ({}, {"index": False}, {"index": False, "rec": True}, {"parts": 3}, {"parts": 2, "index": False}):
+        for own in (frames, bare):
+            film = avi.read_avi(avi_of(own, **layout))
+            assert film.frames == own and film.fps == 10
+    levels = avi.decode_levels(bare)
+    assert (levels == avi.decode_levels(frames)).all() and levels.shape == (3, 12)
+    for picture, got in zip(pictures, levels, strict=True):
+        luma = picture @ np.array([0.299, 0.587, 0.114])
+        for b, (y, x) in enumerate((y, x) for y in range(3) for x in range(4)):
+            if y < 2 and x < 3:  # blocks that lie in the picture whole
+                assert abs(luma[8 * y : 8 * y + 8, 8 * x : 8 * x + 8].mean() - int(got[b])) <= 4
+    media = [(1, bytearray(avi_of(bare, parts=3))), (2, bytearray(avi_of([frames[0][:-40]]))), (3, bytearray(avi_of([])))]
+    got = avi.clips(spark.createDataFrame(media, "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert sum(r.n_frames for r in got if r.doc_id == 1) == 3 and got[-1].error == "no frames" and got[-2].error
+
+
+def test_restart_intervals():
+    """A frame of the writer, cut into restarts by hand, means the same."""
+    levels = np.arange(48, dtype=np.uint8).reshape(1, 48) * 5
+    whole = avi.write_avi(avi.pad(levels.tobytes()))
+    want = avi.decode_levels(avi.read_avi(whole).frames)
+    rows = [avi.read_avi(avi.write_avi(avi.pad(r.tobytes()))).frames[0] for r in want.reshape(-1, 8)]
+    head = avi.jpeg_head(8)
+    cut = head.index(b"\xff\xda")
+    parts = []
+    for r in rows:
+        h = avi.read_head(r)
+        bits = np.unpackbits(np.frombuffer(r[h.size : -2].replace(b"\xff\x00", b"\xff"), np.uint8))[:80]
+        parts.append(np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00"))
+    coded = b"".join(p + (b"\xff" + bytes([0xD0 + i % 8]) if i < 7 else b"") for i, p in enumerate(parts))
+    film = head[:cut] + b"\xff\xdd\x00\x04\x00\x08" + head[cut:] + coded + b"\xff\xd9"
+    assert (avi.decode_levels([film]) == want).all()
