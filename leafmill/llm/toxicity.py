@@ -22,8 +22,9 @@ from .labelled import TRAIN_ROWS, labelled_sample
 #: Bytes of the prefixes that are terms too.
 PREFIXES = (4, 5, 6)
 MAX_TERMS, FACTORS, STEPS = 4096, 4, 150
-#: A term's rates in the two classes must be so many standard deviations apart; few labels thus give few terms, not noise.
-LEAST_DEVIATIONS = 2.5
+#: A term's rates in the two classes must be so many standard deviations apart; few labels thus give few terms, not noise. DECAY is the weight of the
+#: squares of the model's numbers in its loss. Both were chosen by choose_settings, which sees training rows alone.
+LEAST_DEVIATIONS, DECAY = 3.5, 2e-4
 #: Beside the terms kept for themselves, so many of the commonest others are tried as one half of pairs; chance lets a pair in at this rate in a whole training.
 COMMON, CHANCE = 512, 0.05
 GROUPS, SLICE, FIT_SLICE = 64, 4096, 1 << 19
@@ -112,7 +113,7 @@ def evidence(n: np.ndarray, a: np.ndarray, rate: np.ndarray) -> np.ndarray:
     part = np.divide(a, n, out=np.zeros(np.broadcast(a, n).shape), where=n > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         out = np.where(part > 0, part * np.log(part / rate), 0) + np.where(part < 1, (1 - part) * np.log((1 - part) / (1 - rate)), 0)
-    return np.where((n > 0) & (rate > 0) & (rate < 1), n * out, 0)
+    return n * np.where((n > 0) & (rate > 0) & (rate < 1), out, 0)
 
 
 def pair_terms(sample: DataFrame, kept: np.ndarray, common: np.ndarray, n_terms: int, most: int) -> np.ndarray:
@@ -205,7 +206,7 @@ def pair_terms(sample: DataFrame, kept: np.ndarray, common: np.ndarray, n_terms:
     return np.unique(np.array([x for r in got for x in (r.term, r.partner)], np.int64).view(np.uint64))
 
 
-def fit(x_text: np.ndarray, x_term: np.ndarray, y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, decay: float = 2e-4) -> Machine:
+def fit(x_text: np.ndarray, x_term: np.ndarray, y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, decay: float = DECAY) -> Machine:
     """Full-batch Adam on the logistic loss; x_text ascends."""
     n, k = len(y), len(terms)
     rng = np.random.Generator(np.random.PCG64(9))
@@ -234,7 +235,7 @@ def fit(x_text: np.ndarray, x_term: np.ndarray, y: np.ndarray, terms: np.ndarray
     return Machine(terms, float(theta[0][0]), theta[1], theta[2])
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms: int = MAX_TERMS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms: int = MAX_TERMS, deviations: float = LEAST_DEVIATIONS, decay: float = DECAY) -> Machine:
     """Learns labels.toxic from rows outside fold HELD of FOLDS, `bound` of them at most. Without labels it scores every text alike, below 0.5."""
     sample = labelled_sample(docs, labels, "toxic", fold_of(F.col("doc_id"), FOLDS) == HELD, bound)
     counts = sample.select("text", "y").mapInArrow(_term_counts, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("n").alias("n")).filter("n >= 3")
@@ -243,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms
     have, want = F.col("a") / F.lit(max(p, 1.0)), (F.col("n") - F.col("a")) / F.lit(max(n - p, 1.0))
     gap = F.abs(have - want) / F.sqrt((F.col("n") + 2) / F.lit(max(n, 1.0)))
     rate = (F.col("n") + 2) / F.lit(n + 4)
-    sure = F.abs(have - want) >= LEAST_DEVIATIONS * F.sqrt(rate * (1 - rate) * F.lit(1 / max(p, 1.0) + 1 / max(n - p, 1.0)))
+    sure = F.abs(have - want) >= deviations * F.sqrt(rate * (1 - rate) * F.lit(1 / max(p, 1.0) + 1 / max(n - p, 1.0)))
     counts = counts.select("term", "n", sure.alias("sure"), gap.alias("gap")).persist()
     best = [r.term for r in counts.filter("sure").orderBy(F.col("gap").desc(), "term").limit(max_terms).select("term").collect()]
     terms = np.sort(np.array(best, np.int64).view(np.uint64))
@@ -267,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms
     lists = rows.column("terms").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
-    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.flatten().to_numpy(), rows.column("y").to_numpy().astype(float), terms)
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.flatten().to_numpy(), rows.column("y").to_numpy().astype(float), terms, decay=decay)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
@@ -278,7 +279,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS)
     other columns ignored; no rows give no rows, and without labels each text scores the same.
     """
     prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast((lambda m: (m.terms, m.bias, m.w, m.v))(train(docs, labels, bound)))
+    return scored(docs, train(docs, labels, bound)).select("doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """doc_id, score, predicted of each row."""
+    model = docs.sparkSession.sparkContext.broadcast((machine.terms, machine.bias, machine.w, machine.v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*model.value)
@@ -291,5 +297,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS)
             s = np.concatenate(scores)
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", "predicted")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def choose_settings(docs: DataFrame, labels: DataFrame, candidates: tuple[tuple[float, float], ...], folds: int = 3, bound: int = TRAIN_ROWS) -> dict[tuple[float, float], tuple[float, float, float]]:
+    """For each (deviations, decay): log loss, recall and precision over folds of the training rows; rows of fold HELD take no part.
+
+    Each fold is scored by a machine that learned from the others. The setting of least log loss is the one to take.
+    """
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    mine = labels.filter((code % FOLDS != HELD) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.floor(code / FOLDS) % folds).alias("fold")).checkpoint()
+    out = {}
+    for c in candidates:
+        tests = None
+        for fold in range(folds):
+            machine = train(docs, mine.filter(F.col("fold") != fold), bound, deviations=c[0], decay=c[1])
+            own = mine.filter(F.col("fold") == fold).select("doc_id", "toxic")
+            part = scored(docs.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi"), machine).join(own, "doc_id")
+            tests = part if tests is None else tests.union(part)
+        p = F.greatest(F.least("score", F.lit(1 - 1e-9)), F.lit(1e-9))
+        hit = (F.col("toxic") * F.col("predicted")).cast("double")
+        r = tests.agg(F.avg(-F.when(F.col("toxic") == 1, F.log(p)).otherwise(F.log(1 - p))), F.sum(hit) / F.sum("toxic"), F.sum(hit) / F.greatest(F.sum("predicted"), F.lit(1))).first()
+        out[c] = tuple(r)
+    return out

@@ -44,16 +44,93 @@ def test_scores_of_odd_tables(spark, score):
     assert score(docs(spark, []), labels_of(spark, [(1, 1, 1)])).count() == 0
 
 
-def test_labels_of_the_held_out_fold_teach_nothing(spark):
+@pytest.mark.parametrize(("score", "mod", "held"), [(quality.score_quality, 3, 1), (toxicity.score_toxicity, 5, 0)])
+def test_labels_of_the_held_out_fold_teach_nothing(spark, score, mod, held):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["good", "bad", "word", "thing"]) for _ in range(20))) for i in range(400)]
     d = docs(spark, rows)
     truth = [(i, int("bad" in t), int("bad bad" in t)) for i, t in rows]
-    flipped = [(i, 1 - q, 1 - x) if zlib.crc32(str(i).encode()) % 5 == 0 else (i, q, x) for i, q, x in truth]
-    a, b = (toxicity.score_toxicity(d, labels_of(spark, y)).orderBy("doc_id").collect() for y in (truth, flipped))
+    flipped = [(i, 1 - q, 1 - x) if zlib.crc32(str(i).encode()) % mod == held else (i, q, x) for i, q, x in truth]
+    a, b = (score(d, labels_of(spark, y)).orderBy("doc_id").collect() for y in (truth, flipped))
     assert a == b
 
 
+def test_machine_is_the_sum_over_pairs():
+    """score = sigmoid(b + sum w_i + sum over i < j of <v_i, v_j>), added up plainly."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    m = toxicity.Machine(np.arange(9, dtype=np.uint64), 0.3, rng.normal(size=9), rng.normal(size=(3, 9)))
+    has = rng.random((50, 9)) < 0.4
+    got = m.scores(*np.nonzero(has), 50)
+    for row, s in zip(has, got, strict=True):
+        own = np.flatnonzero(row).tolist()
+        total = m.bias + sum(m.w[i] for i in own) + sum(sum(float(f[i] * f[j]) for f in m.v) for n, i in enumerate(own) for j in own[n + 1 :])
+        assert abs(s - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_whole_toxicity_score_is_brute_force(spark):
+    """Terms found in texts one by one, with words and prefixes by a plain walk, give the scores of the query."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30)] + ["Horrible", "horribly", "straße", "don't", "x" * 40]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(25)))) for i in range(300)]
+    d, y = docs(spark, rows), labels_of(spark, [(i, 0, int("orribl" in t)) for i, t in rows])
+    m = toxicity.train(d, y)
+    assert len(m.terms)
+
+    def hashed(raw):
+        return [int(h) for _, hs in toxicity.term_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) for h in hs]
+
+    place = {int(h): k for k, h in enumerate(m.terms)}
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, y).collect()}
+    for i, t in rows:
+        words, own = [], ""
+        for c in t + " ":
+            if c.isalnum() or ord(c) > 127:
+                own += c
+            elif own:
+                words.append(own)
+                own = ""
+        held = sorted({place[h] for w in words for h in hashed(w.encode()) if h in place})
+        total = m.bias + sum(m.w[k] for k in held) + sum(float(m.v[:, a] @ m.v[:, b]) for n, a in enumerate(held) for b in held[n + 1 :])
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_statistics_are_brute_force():
+    """Each of STATS by its plain meaning, over a block of texts at once."""
+    texts = [*(t or "" for _, t, _ in EDGES), "One two two, three!\nfour | five* $x\n\nfour | five* $x", "a  b\tc", "UPPER lower 123 (x) [y]?"]
+    raw = [t.encode() for t in texts]
+    got = quality.text_stats(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for r, row in zip(raw, got, strict=True):
+        words = r.split()
+        if not words:
+            assert not row.any()
+            continue
+        low = [w.lower() for w in words]
+        n, k = len(r), len(words)
+        share = lambda group: sum(c in bytes(group) for c in r) / n  # noqa: B023, E731
+        lines = [x for x in r.split(b"\n") if x]
+        counts = [r.count(bytes([c])) / n for c in set(r)]
+        want = {
+            "n_bytes": np.log1p(n), "n_words": np.log1p(k), "word_bytes": sum(map(len, words)) / k, "distinct": len(set(low)) / k, "repeats": sum(a == b for a, b in zip(low, low[1:], strict=False)) / k,
+            "top_byte": max([r.count(bytes([c])) / n for c in set(r) if c != 32], default=0), "entropy": -sum(c * np.log2(c) for c in counts), "pointed_ends": sum(w[-1] in b"#$%&*!|" for w in words) / k,
+            "short_words": sum(len(w) == 1 for w in words) / k, "line_bytes": np.log1p(n / max(len(lines), 1)), "distinct_lines": len({x.lower() for x in lines}) / max(len(lines), 1),
+        } | {g: share([int(c) for c in members]) for g, members in quality._GROUPS.items()}
+        for name, v in zip(quality.STATS, row, strict=True):
+            assert abs(v - want[name]) < 1e-9, (name, r[:40])
+
+
+def test_whole_quality_score_is_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abc $*!\n") for _ in range(rng.randrange(1, 200))) + "$*" * (i % 2) * 20) for i in range(300)]
+    d, y = docs(spark, rows), labels_of(spark, [(i, 1 - i % 2, 0) for i, _ in rows])
+    intercept, rules = quality.train(d, y)
+    assert rules
+    for r in quality.score_quality(d, y).collect():
+        raw = rows[r.doc_id][1].encode()
+        x = quality.text_stats(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        total = intercept + sum(c for c, rule in rules if all((x[j] > t) == greater for j, greater, t in rule))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_machine_learns_pairs():
     """Neither term alone tells the classes apart: only the pair does."""
     rng = np.random.Generator(np.random.PCG64(1))
