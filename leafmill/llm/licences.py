@@ -1,14 +1,15 @@
 """Licence scans by a trained paragraph classifier.
 
-Word n-grams (one to three words) that occur in the training phrases are the features of a softmax regression over
-licence families and "unknown"; its temperature is fitted on phrases kept apart, so that its probabilities mean
-something. What is classified is each line, and each run of lines over whose line feeds n-grams of one template go on;
-a line without words ends a run. A family counts once a template agrees: the line or run must hold most of the
-n-grams of one of the family's own templates.
+Word n-grams (one to three words) are the features of a softmax regression over licence families and "unknown", which learns from
+names and clauses of licences in their usual company, and for the unknown class from prose, from denials ("not under the GNU GPL") and from
+mentions ("an MIT license plate"). Its temperature is fitted on sentences that took no part in the training. Statements are sought in each
+line, and in each run of lines over whose line feeds n-grams of one template go on; a line without words ends a run. A family counts where one of its
+templates agrees and the classifier takes the template's words, with CONTEXT words around, for that family.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -46,8 +47,19 @@ _OTHER = [
     "creative work in the commons of the town", "attribution of the painting is in doubt", "released under a full moon", "licensed under the terms of the vendor", "all rights of the child", "Mozilla and Eclipse met in the night", "permission of the owner is needed", "subject to the terms of the sale", "this work is hard", "released to the public", "under the bridge", "the copy of the book", "software of any kind",
     "commercial use of the harbour", "terms and conditions apply", "a person obtaining a passport", "the names of its members", "distribution of goods in the region", "see the file for details", "by the contributors to the fair", "unless otherwise noted the shop is open", "available at the counter", "the authors of the study", "content of the box", "license", "licensed", "under the license", "copyright", "version 2.0", "4.0", "GNU", "public license",
 ]
+#: What denies a licence, or speaks of it without granting it; {} is its name.
+_DENIED = [
+    "this file is not under the {}", "it is not licensed under the {}", "not released under the {}", "no longer available under the {}", "it was never published under the {}", "is incompatible with the {}", "unlike the {} it forbids copying", "we do not use the {}", "without the {}", "instead of the {}", "is not covered by the {}", "cannot be distributed under the {}",
+]
+_MENTIONED = [
+    "he did not get an {} plate", "the {} plate of the car", "the history of the {}", "a lawyer explained the {}", "an article about the {}", "critics of the {} say", "{} seats were sold out", "{} holders met in town", "the {} was debated for years", "what does the {} mean", "she read the {} twice", "compare it with the {}",
+]
 UNKNOWN = "unknown"
-LEAST_PROBABILITY, LEAST_AGREEMENT = 0.5, 0.6
+LEAST_AGREEMENT = 0.6
+#: Words on either side of a template's words that the classifier sees, and words without a part in the template within them.
+CONTEXT, GAP = 4, 6
+#: The unknown class's share of the training's weight; every fourth sentence around a phrase is kept apart for the temperature.
+UNKNOWN_SHARE, APART = 0.5, 4
 
 
 #: Words that open each line of a comment in some languages; they don't part a statement.
@@ -86,47 +98,73 @@ def _features(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(np.concatenate([g[a:b][g[a:b] != 0] for g in grams])) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
-def train(steps: int = 120) -> dict:
-    """The model: terms (sorted hashes), weights (terms x classes), temperature, and the templates' n-grams. Small and made from the phrases above alone."""
-    names = [*FAMILIES, UNKNOWN]
-    rng = np.random.Generator(np.random.PCG64(4))
-    texts, y = [], []
+def _examples() -> list[tuple[str, int, bool]]:
+    """(text, class, kept apart). Every fourth wrapping, denial, mention and line of prose is kept apart, with all phrases in it.
+
+    The classifier is asked only where a template agrees, so what is new to it in use is the company that a phrase keeps, not the phrase.
+    """
+    out, last = [], len(FAMILIES)
+    apart = lambda n: n % APART == APART - 1
     for c, phrases in enumerate(FAMILIES.values()):
-        for p in phrases:
-            for k in rng.permutation(len(_LEADS) * len(_TAILS))[:10].tolist():
-                texts.append(f"{_LEADS[k % len(_LEADS)]} {p} {_TAILS[k // len(_LEADS)]}")
-                y.append(c)
+        for n, p in enumerate(phrases):
+            out.append((p, c, False))
+            for k in range(n, len(_LEADS) * len(_TAILS), 7):
+                lead, tail = k % len(_LEADS), k // len(_LEADS)
+                out.append((f"{_LEADS[lead]} {p} {_TAILS[tail]}", c, apart(lead)))
+            if len(p.split()) <= 6:
+                out += [(t.format(p), last, apart(m)) for m, t in enumerate([*_DENIED, *_MENTIONED])]
     parts = [*_OTHER, *filter(None, _LEADS), *filter(None, _TAILS)]
-    for a, b in itertools.product(parts, parts[::5]):
-        texts.append(f"{a} {b}")
-        y.append(len(names) - 1)
-    found, y = _features(texts), np.array(y)
-    terms = np.unique(np.concatenate([f for f, c in zip(found, y, strict=True) if c < len(names) - 1] + _features(_OTHER)))
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    cols = np.searchsorted(terms, np.concatenate(found))
-    ok = (cols < len(terms)) & (terms[np.minimum(cols, len(terms) - 1)] == np.concatenate(found))
-    x = np.zeros((len(found), len(terms)), np.float32)
-    x[rows[ok], cols[ok]] = 1
-    apart = rng.random(len(y)) < 0.2
-    share = np.bincount(y).astype(float)
-    weight = (1 / share[y]) / (1 / share[y]).mean()
-    w, m1, m2 = np.zeros((len(terms), len(names))), 0.0, 0.0
-    bias = np.zeros(len(names))
-    bias[-1] = 3.0  # most paragraphs are no licence
-    xt, yt, wt = x[~apart], y[~apart], weight[~apart]
+    for (i, a), b in itertools.product(enumerate(parts), parts[::5]):
+        out.append((f"{a} {b}", last, apart(i)))
+    return out
+
+
+def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_terms: int, n_classes: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a softmax regression by Adam; rows ascend, each has a term. The unknown class alone has a bias, learned: without terms nothing speaks for a family."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    total = np.bincount(y, minlength=n_classes).astype(float)
+    share = np.full(n_classes, (1 - UNKNOWN_SHARE) / (n_classes - 1))
+    share[-1] = UNKNOWN_SHARE
+    weight = (share / np.maximum(total, 1))[y]
+    w, b, state = np.zeros((n_terms, n_classes)), np.zeros(n_classes), [0.0, 0.0, 0.0, 0.0]
     for step in range(1, steps + 1):
-        g = _softmax(xt @ w + bias)
-        g[np.arange(len(yt)), yt] -= 1
-        d = xt.T @ (g * wt[:, None]) / len(yt) + 1e-4 * w
-        m1, m2 = 0.9 * m1 + 0.1 * d, 0.99 * m2 + 0.01 * d * d
-        w -= 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    xv, yv = x[apart] @ w + bias, y[apart]
-    temperature = min(np.linspace(0.5, 4, 36), key=lambda t: -np.log(_softmax(xv / t)[np.arange(len(yv)), yv] + 1e-12).mean())
-    templates = [[np.searchsorted(terms, t) for t in _features(p)] for p in FAMILIES.values()]
-    member = np.zeros((len(terms), sum(map(len, templates))), bool)
-    for k, t in enumerate(itertools.chain(*templates)):
+        g = _softmax(np.add.reduceat(w[cols], first, axis=0) + b)
+        g[np.arange(len(y)), y] -= 1
+        g *= weight[:, None]
+        spread = g[rows]
+        d = np.stack([np.bincount(cols, spread[:, c], n_terms) for c in range(n_classes)], axis=1) + 1e-5 * w
+        for i, (x, dx) in enumerate(((w, d), (b, g.sum(axis=0) * (np.arange(n_classes) == n_classes - 1)))):
+            state[2 * i] = 0.9 * state[2 * i] + 0.1 * dx
+            state[2 * i + 1] = 0.99 * state[2 * i + 1] + 0.01 * dx * dx
+            x -= 0.05 * (state[2 * i] / (1 - 0.9**step)) / (np.sqrt(state[2 * i + 1] / (1 - 0.99**step)) + 1e-8)
+    return w, b
+
+
+@functools.cache
+def train(steps: int = 120) -> dict:
+    """The model: terms (sorted hashes), weights (terms x classes), biases, temperature, and the templates' n-grams. Small and made from the phrases above alone."""
+    names = [*FAMILIES, UNKNOWN]
+    texts, y, apart = (list(x) for x in zip(*_examples(), strict=True))
+    found, y, apart = _features(texts), np.array(y), np.array(apart)
+    terms = np.unique(np.concatenate(found))
+    rows, cols = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.searchsorted(terms, np.concatenate(found))
+
+    def part(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inside = which[rows]
+        return (np.cumsum(which) - 1)[rows[inside]], cols[inside], y[which]
+
+    w, bias = _fit(*part(~apart), len(terms), len(names), steps)
+    r, c, yv = part(apart)
+    z = np.add.reduceat(w[c], np.flatnonzero(np.diff(r, prepend=-1)), axis=0) + bias
+    temperature = min(np.linspace(0.5, 6, 56), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(yv)), yv] + 1e-12).mean())
+    w, bias = _fit(rows, cols, y, len(terms), len(names), steps)
+    templates = [np.searchsorted(terms, t) for p in FAMILIES.values() for t in _features(p)]
+    member = np.zeros((len(terms), len(templates)), bool)
+    for k, t in enumerate(templates):
         member[t, k] = True
-    return {"names": names, "terms": terms, "w": w.astype(np.float32), "bias": bias, "temperature": float(temperature), "templates": templates, "member": member}
+    of = np.repeat(np.arange(len(FAMILIES)), [len(p) for p in FAMILIES.values()])
+    right = float((z.argmax(axis=1) == yv).mean())
+    return {"names": names, "terms": terms, "w": w.astype(np.float32), "bias": bias, "temperature": float(temperature), "of": of, "member": member, "right_apart": right}
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -203,22 +241,32 @@ def _runs(a: np.ndarray, b: np.ndarray, term: np.ndarray, size: int) -> set[tupl
     return out
 
 
-def _statement(model: dict, hits: Hits, some: np.ndarray) -> Statement | None:
-    """What some hits amount to, if they are a licence statement."""
-    have = np.unique(hits.at[some])
-    p = _softmax(((model["w"][have].sum(axis=0) + model["bias"]) / model["temperature"])[None])[0]
-    best = int(p.argmax())
-    if best == len(model["names"]) - 1 or p[best] < LEAST_PROBABILITY:
-        return None
-    agreement, template = max(((float(np.isin(t, have).mean()), k) for k, t in enumerate(model["templates"][best])), key=lambda c: c[0])
-    if agreement < LEAST_AGREEMENT:
-        return None
-    template = model["templates"][best][template]
-    own = some[np.isin(hits.at[some], template)]
-    if len(template) > 1:
-        own = own[hits.last[own] > hits.word[own]]
-    words = frozenset(k for x, y in zip(hits.word[own].tolist(), hits.last[own].tolist(), strict=True) for k in range(x, y + 1))
-    return Statement(int(hits.a[some[0]]), best, float(p[best]), agreement, words)
+def _statements(model: dict, hits: Hits, some: np.ndarray) -> Iterator[Statement]:
+    """The licence statements in some hits: for each family the template that agrees most, where the classifier confirms it."""
+    at, word, last = hits.at[some], hits.word[some], hits.last[some]
+    have, sizes = np.unique(at), model["member"].sum(axis=0)
+    agreement = model["member"][have].sum(axis=0) / sizes
+    for c in np.unique(model["of"][agreement >= LEAST_AGREEMENT]).tolist():
+        best, out = None, None
+        for k in np.flatnonzero((model["of"] == c) & (agreement >= LEAST_AGREEMENT)).tolist():
+            own = model["member"][at, k] & ((last > word) if sizes[k] > 1 else True)
+            covered = np.unique(np.concatenate([word[own], last[own]]))
+            for cluster in np.split(covered, np.flatnonzero(np.diff(covered) > GAP) + 1):
+                if not len(cluster):
+                    continue
+                lo, hi = cluster[0], cluster[-1]
+                inside = own & (word >= lo) & (last <= hi)
+                near = (word >= lo) & (last <= hi)
+                held = len(np.unique(at[near & model["member"][at, k]])) / sizes[k]
+                if held < LEAST_AGREEMENT or best is not None and (held, inside.sum()) <= best:
+                    continue
+                seen = np.unique(at[(word >= lo - CONTEXT) & (last <= hi + CONTEXT)])
+                p = _softmax(((model["w"][seen].sum(axis=0) + model["bias"]) / model["temperature"])[None])[0]
+                if int(p.argmax()) == c:
+                    words = frozenset(w for x, y in zip(word[inside].tolist(), last[inside].tolist(), strict=True) for w in range(x, y + 1))
+                    best, out = (held, inside.sum()), Statement(int(hits.a[some[0]]), c, float(p[c]), float(held), words)
+        if out is not None:
+            yield out
 
 
 def _settle(found: list[Statement]) -> list[Statement]:
@@ -251,23 +299,20 @@ def classify(model: dict, data: np.ndarray, offs: np.ndarray, sieve: np.ndarray)
     order = np.argsort(word, kind="stable")
     hits = Hits(w, at[order], word[order], last[order])
     inside = hits.a == hits.b
+    sizes = member.sum(axis=0)
+    found: dict[int, list[Statement]] = {}
     pairs = np.unique(np.stack([hits.a[inside], hits.at[inside]]), axis=1)
     first = np.flatnonzero(np.diff(pairs[0], prepend=-1))
-    logits = np.add.reduceat(model["w"][pairs[1]], first, axis=0) + model["bias"]
-    p = _softmax(logits / model["temperature"])
-    likely = pairs[0, first[(p.argmax(axis=1) < len(names) - 1) & (p.max(axis=1) >= LEAST_PROBABILITY * 0.999)]]  # _statement has the last word
-    found: dict[int, list[Statement]] = {}
-    for u in likely.tolist():
+    held = np.add.reduceat(member[pairs[1]], first, axis=0, dtype=np.int32) / sizes if len(first) else np.zeros((0, len(sizes)))
+    for u in pairs[0, first[(held >= LEAST_AGREEMENT).any(axis=1)]].tolist():
         some = hits.within(u, u)
-        s = _statement(model, hits, some)
-        if s is not None:
+        for s in _statements(model, hits, some):
             found.setdefault(int(w.part[hits.word[some[0]]]), []).append(s)
     # runs of lines: stretches without a blank line in which a template is held, with n-grams over line feeds
     part = w.part[hits.word]
     crossing = np.unique(part[~inside])
     mine = np.flatnonzero(np.isin(part, crossing))
     if len(mine):
-        sizes = member.sum(axis=0)
         both = np.unique(np.stack([part[mine], hits.at[mine]]), axis=1)
         over = np.unique(np.stack([part[~inside], hits.at[~inside]]), axis=1)
         held, crossed = (np.add.reduceat(member[x[1]], np.flatnonzero(np.diff(x[0], prepend=-1)), axis=0, dtype=np.int32) for x in (both, over))
@@ -279,12 +324,12 @@ def classify(model: dict, data: np.ndarray, offs: np.ndarray, sieve: np.ndarray)
             for c in np.flatnonzero(wanted[k]).tolist():
                 of = member[t, c]
                 runs |= _runs(a[of], b[of], t[of], int(sizes[c]))
-            more = [s for i, j in sorted(runs) for s in [_statement(model, hits, hits.within(i, j))] if s is not None]
+            more = [s for i, j in sorted(runs) for s in _statements(model, hits, hits.within(i, j))]
             if more:
-                found[int(crossing[k])] = _settle(found.get(int(crossing[k]), []) + more)
+                found.setdefault(int(crossing[k]), []).extend(more)
     newlines = np.concatenate([[0], np.cumsum(data == 10)])
     out = []
-    for s in sorted(itertools.chain(*found.values()), key=lambda s: (s.unit, names[s.family])):
+    for s in sorted(itertools.chain(*map(_settle, found.values())), key=lambda s: (s.unit, names[s.family])):
         text = int(w.text[np.searchsorted(w.unit, s.unit)])
         out.append((text, int(s.unit - text - newlines[offs[text]]), names[s.family], s.probability, s.agreement))
     return out

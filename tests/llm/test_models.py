@@ -189,6 +189,58 @@ def test_licences(spark):
     assert licences.scan_licences(docs(spark, [])).count() == 0
 
 
+MORE_LICENCES = [
+    ("This file is not under the GNU GPL.", ""), ("He did not get an MIT license plate.", ""), ("All rights reserved seats were sold out.", ""), ("LGPL", "LGPL"), ("CC0", "CC0"), ("License: GPLv3", "GPL"), ("the history of the BSD license", ""), ("Dual licensed under the MIT License or the Apache License, Version 2.0", "Apache-2.0,MIT"),
+    ("Copyright 2021 the authors. All rights reserved.", "proprietary"), (" ".join(["He walked on and did not look back for the rest of the day."] * 40) + " Licensed under the Apache License, Version 2.0. " + " ".join(["The sun was not up yet."] * 40), "Apache-2.0"), ("you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Apache-2.0"),
+    (" \n\t\n", ""), ("word " * 200_000 + "\nReleased under the MIT License\n" + "x" * 100_000, "MIT"), ("LGPL", "LGPL"),
+]
+
+
+def test_denials_mentions_and_odd_texts(spark):
+    """Denied and mentioned licences are none; several on a line, long and blank texts, repeated rows."""
+    rows = [(i, t) for i, (t, _) in enumerate(MORE_LICENCES)] + [(i, t) for i, t, _ in EDGES]
+    got = licences.scan_licences(clashing(docs(spark, rows))).collect()
+    assert len(got) == len(rows)
+    own = {r.doc_id: r.families for r in licences.scan_licences(docs(spark, rows[: len(MORE_LICENCES)])).collect()}
+    assert own == {i: want for i, (_, want) in enumerate(MORE_LICENCES)}
+    assert {r.licence for r in licences.scan_licences(docs(spark, [(i, t) for i, t, _ in EDGES])).collect()} == {"unknown"}
+
+
+def test_the_temperature_is_fitted_on_sentences_kept_apart():
+    """A denial in words that were not learned looks like a grant, so many of the sentences kept apart are misjudged; the temperature owns up to that."""
+    apart = [(t, c) for t, c, a in licences._examples() if a]
+    assert len(apart) > 500 and not {t for t, _ in apart} & {t for t, _, a in licences._examples() if not a}
+    m = licences.train()
+    assert 0 < m["right_apart"] < 1 and m["temperature"] > 1
+
+
+def test_statements_are_brute_force():
+    """On single lines: every family whose template shares 0.6 of its n-grams and whose probability by a plain sum wins, by walking over n-grams as texts."""
+    m = licences.train()
+    index = {int(h): k for k, h in enumerate(m["terms"])}
+
+    def grams(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, g = licences.ngrams(data, np.array([0, len(data)]))
+        return {index[int(h)] for col in g for h in col if h and int(h) in index}
+
+    sieve = np.zeros(1 << 18, bool)
+    sieve[(m["terms"] & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+    texts = [p for ps in licences.FAMILIES.values() for p in ps] + [t.format("GNU GPL") for t in licences._DENIED + licences._MENTIONED]
+    for t in texts:
+        have, want = grams(t), set()
+        z = (sum(m["w"][k].astype(float) for k in sorted(have)) + m["bias"]) / m["temperature"]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        for k, c in enumerate(m["of"].tolist()):
+            template = set(np.flatnonzero(m["member"][:, k]).tolist())
+            if len(have & template) / len(template) >= 0.6 and p.argmax() == c:
+                want.add(m["names"][c])
+        data = np.frombuffer(t.encode(), np.uint8)
+        got = {f for _, _, f, _, _ in licences.classify(m, data, np.array([0, len(data)]), sieve)}
+        if len(t.split()) <= 5:  # short enough that a template's context is the whole line
+            assert got == want, (t, got, want)
+
+
 WRAPPED = [
     ("Copyright (c) 2010, The Authors.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n\n1. Redistributions of source code", "BSD", "BSD,proprietary"),
     ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above", "ISC", "ISC"),
