@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import stages
 from leafmill.llm.common import prepare
+from leafmill.sources.files import Folder
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -26,11 +27,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the last one's result, not yet written."""
+    """All stages over documents; the last one's result, not yet written. Of the tables between stages only the one that it reads is left behind."""
     prepare(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = Folder(spark, f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder.path(name))
+        docs = spark.read.parquet(folder.path(name))
+        if before is not None:
+            folder.delete(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
