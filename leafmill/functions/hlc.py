@@ -62,6 +62,11 @@ class Clock:
         with self._lock:
             return self._last
 
+    def after(self, own: Stamp) -> None:
+        """Moves on beyond a stamp that this side gave itself, however far ahead it is."""
+        with self._lock:
+            self._last = max(self._last, own)
+
     def sync(self, remote: Stamp) -> Stamp:
         with self._lock:
             wall = self._source()

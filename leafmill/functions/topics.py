@@ -143,3 +143,21 @@ def body_matches(pattern: str, schema: T.StructType, columns: list[str] | None =
         elif levels[0] in ("+", f.name):
             parts.append(_typed(own, f.dataType, levels[1:]))
     return F.coalesce(_any(parts), F.lit(False))
+
+
+def body_topics(schema: T.StructType, columns: list[str], body: str | None = None, depth: int = 4) -> Column:
+    """array<string> of a document's topics, over columns of the schema or over the VARIANT column body; values nested deeper than depth count as JSON text."""
+    if not body:
+        every = F.concat(*(leaves(F.col(f"`{f.name}`"), f.dataType, [F.lit(f.name)]) for f in schema.fields if f.name in columns))
+        return F.transform(every, lambda e: F.concat_ws("/", F.array_append(e.path, e.value)))
+    return _variant_topics(F.col(body), depth)
+
+
+def _variant_topics(value: Column, depth: int) -> Column:
+    text = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+    if not depth:
+        return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(text))
+    below = lambda k, v: F.transform(_variant_topics(v, depth - 1), lambda t: F.concat(k, F.lit("/"), t))
+    of_map = F.flatten(F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: below(e.key, e.value)))
+    of_list = F.flatten(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: below(i.cast("string"), x)))
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(of_map, of_list, F.array(text)))

@@ -76,6 +76,28 @@ def set_key(body: Column, key: str, value: Column) -> Column:
     return from_map(F.map_concat(kept, F.create_map(F.lit(key), value)))
 
 
+def set_path(body: Column, path: list[str], value: Column) -> Column:
+    """With a VARIANT value at a path of names; objects on the way are made, and take the place of what is none."""
+    if len(path) == 1:
+        return set_key(F.coalesce(_object(body), F.parse_json(F.lit("{}"))), path[0], value)
+    return set_path(body, path[:1], set_path(get(body, path[:1]), path[1:], value))
+
+
+def update_path(body: Column, path: list[str], fun: Callable[[Column], Column]) -> Column:
+    """With fun of the VARIANT value at a path (null, if there is none) in its place."""
+    return set_path(body, path, fun(get(body, path)))
+
+
+def _object(body: Column) -> Column:
+    return F.when(fields(body).isNotNull(), body)
+
+
+def fold(body: Column, start: Column, fun: Callable[[Column, Column, Column], Column]) -> Column:
+    """fun(accumulator, key, value) over the top level, in order of the keys."""
+    ordered = F.array_sort(keys(body))
+    return F.aggregate(ordered, start, lambda acc, k: fun(acc, k, F.element_at(fields(body), k)))
+
+
 def merge(left: Column, right: Column) -> Column:
     """Both objects' fields; the right one wins."""
     mine = fields(right)

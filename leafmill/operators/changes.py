@@ -52,6 +52,27 @@ def change_filter(log: DataFrame, doc_ids: list | DataFrame | None = None, paths
     return keep, ids
 
 
+def changed(log: DataFrame, since: Stamp = FIRST, doc_ids=None, paths: list[str] | None = None, query=None, include_docs: bool = False, body: str | None = None) -> DataFrame:
+    """Last changes after `since` that pass the filters, in no order: id, rev, deleted, hlc and, if asked for, the documents' columns.
+
+    Filters turn into one boolean before the aggregation, so that no column but those asked for is read for it or moved by it.
+    """
+    # a stamp up to `since` can't be the last of a document that changed later, so older log rows need not take part
+    recent = log.filter(F.col("hlc") > literal(since)) if since != FIRST else log
+    by_id, ids = change_filter(log, doc_ids)
+    if ids is not None:
+        recent = recent.join(ids.select(F.col("id")).distinct(), "id", "left_semi")
+    elif doc_ids is not None:
+        recent = recent.filter(by_id)
+    extra = [c for c in log.columns if c not in META] if include_docs else []
+    if paths is None and query is None:
+        return latest(recent, extra)
+    keep, _ = change_filter(log, None, paths, query, body)
+    passes = "passes" + "_" * sum(c.startswith("passes") for c in log.columns)
+    rows = latest(recent.withColumn(passes, F.coalesce(keep & ~F.col("deleted"), F.lit(False))), [*extra, passes])
+    return rows.filter(F.col(passes)).drop(passes)
+
+
 def changes(log: DataFrame, since: Stamp = FIRST, doc_ids=None, paths: list[str] | None = None, query=None, include_docs: bool = False, limit: int | None = None, descending: bool = False, style: str = "main_only", revs: DataFrame | None = None, body: str | None = None) -> DataFrame:
     """Changes after `since`, in order of hlc: id, hlc, rev, deleted, changes, num_conflicts (with revs) and, if asked for, the documents' columns.
 
@@ -61,16 +82,7 @@ def changes(log: DataFrame, since: Stamp = FIRST, doc_ids=None, paths: list[str]
     """
     if style not in ("main_only", "all_docs") or style == "all_docs" and revs is None:
         raise QueryError("invalid_style", style)
-    # a stamp up to `since` can't be the last of a document that changed later, so older log rows need not take part
-    recent = log.filter(F.col("hlc") > literal(since)) if since != FIRST else log
-    rows = latest(recent)
-    keep, ids = change_filter(rows, doc_ids, paths, query, body)
-    rows = rows.filter(keep)
-    if paths is not None or query is not None:
-        rows = rows.filter(~F.col("deleted"))
-    if ids is not None:
-        rows = rows.join(ids.select(F.col("id")).distinct(), "id", "left_semi")
-    rows = rows.withColumn("changes", F.array("rev"))
+    rows = changed(log, since, doc_ids, paths, query, include_docs, body).withColumn("changes", F.array("rev"))
     if revs is not None:
         leaf = revtree.leaves(revs).groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set("rev"), asc=False).alias("leaf_revs"), F.sum((~F.col("deleted")).cast("long")).alias("live"))
         rows = rows.join(leaf, "id", "left").withColumn("num_conflicts", F.greatest(F.lit(0), F.coalesce("live", F.lit(1)) - (~F.col("deleted")).cast("long"))).drop("live")

@@ -16,21 +16,28 @@ from ..plans.query import Plan, compile_query
 from .predicate import Typed, Variant, to_column
 
 
+#: Up to so many ids are looked up by a filter.
+FEW_IDS = 500
+
+
 def key_of(field: list | str) -> str:
     return field if isinstance(field, str) else "/".join(map(str, field))
 
 
-def find(docs: DataFrame, spec: dict | Plan, id_col: str = "id", body: str | None = None) -> DataFrame:
+def find(docs: DataFrame, spec: dict | Plan, id_col: str = "id", body: str | None = None, any_rows: bool = False) -> DataFrame:
     """docs filtered, ordered, cut and shaped as spec says.
 
     body names a VARIANT column; without it the columns are the document's fields. Every row has `id`; include_docs adds `doc`
     (a struct, or VARIANT; or as doc_format says), or with flat the fields themselves; select adds a column for each variable and path, named by the
-    path's parts joined by "/". Only the first order counts; ties and unordered limits go by id, so results are stable.
+    path's parts joined by "/". Only the first order counts; ties and unordered limits go by id, so results are stable. any_rows gives up the
+    latter: without an order, a limit takes the first rows that are found, and the scan ends with them.
     """
     plan = spec if isinstance(spec, Plan) else compile_query(spec)
     fields = Variant(body) if body else Typed()
     rows = docs.filter(_scan(plan, id_col)) if plan.id_scan else docs.filter(to_column(plan.conditions, fields)) if plan.conditions else docs
     keys = sort_keys(plan, docs, fields, id_col, body)
+    if any_rows and not plan.order and not plan.offset and not plan.id_scan:
+        keys = []
     if keys and (plan.order or plan.limit is not None or plan.offset or plan.id_scan):
         rows = rows.orderBy(*keys)
     if plan.offset:
@@ -75,7 +82,8 @@ def shape(plan: Plan, docs: DataFrame, fields: Typed | Variant, id_col: str, bod
             elif plan.doc_format == "binary":
                 whole = F.encode(F.to_json(whole), "UTF-8")
             if plan.decoder is not None:
-                whole = F.udf(plan.decoder, T.StringType())(F.to_json(F.col(body) if body else whole))
+                decode = plan.decoder
+                whole = F.pandas_udf(lambda s: s.map(decode, na_action="ignore"), T.StringType())(F.to_json(F.col(body) if body else whole))
             cols.append(whole.alias("doc"))
     return cols + [fields.value(p).alias(name) for name, p in _projections(plan)]
 
@@ -138,10 +146,17 @@ def find_page(docs: DataFrame, spec: dict, size: int = 1000, token: str | None =
 
 
 def get_many(docs: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
-    """Documents in the order asked for; `found` is false for ids without one."""
+    """Documents in the order asked for; `found` is false for ids without one.
+
+    The ids, which the caller holds in memory, meet the documents in a broadcast inner join (up to FEW_IDS as a filter that reaches the scan before it), so no document
+    moves but those asked for.
+    """
     kind = docs.schema[id_col].dataType
     wanted = docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], T.StructType([T.StructField("pos", T.IntegerType()), T.StructField(id_col, kind)]))
-    return F.broadcast(wanted).join(docs.withColumn("found", F.lit(True)), id_col, "left").withColumn("found", F.coalesce("found", F.lit(False))).orderBy("pos")
+    near = docs.filter(F.col(id_col).isin(*ids)) if 0 < len(ids) <= FEW_IDS else docs
+    have = near.withColumn("found", F.lit(True)).join(F.broadcast(wanted), id_col)
+    rows = wanted.join(have.drop(id_col), "pos", "left")
+    return rows.select(id_col, "pos", *(F.col(f"`{c}`") for c in docs.columns if c != id_col), F.coalesce("found", F.lit(False)).alias("found")).orderBy("pos")
 
 
 def fold_docs(docs: DataFrame, fun: Callable, start, deleted: str | None = None):

@@ -7,6 +7,7 @@ statistics stand in for a stored index. Ids meet in joins and set operators, not
 from __future__ import annotations
 
 import json
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.topics import leaves
+from ..plans.conditions import QueryError
+
+_FOLDS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "=<": operator.le, "==": operator.eq}
 
 
 def flatten_typed(docs: DataFrame, id_col: str, columns: list[str] | None = None) -> DataFrame:
@@ -86,11 +90,32 @@ def cardinality(paths: DataFrame) -> DataFrame:
     return paths.select(F.concat_ws("/", "path").alias("path"), "value", "id").distinct().groupBy("path", "value").agg(F.count("*").alias("n_docs"))
 
 
-def under(paths: DataFrame, prefix: list[str], descending: bool = False) -> DataFrame:
-    """Leaves below a path, ordered by path and value."""
+def under(paths: DataFrame, prefix: list[str], descending: bool = False, after: tuple | None = None, size: int | None = None) -> DataFrame:
+    """Leaves below a path, ordered by path, value and id; after (path, value, id of the last row seen) and size give a chunk."""
     rows = paths.filter(F.slice("path", 1, len(prefix)) == F.array(*map(F.lit, prefix))) if prefix else paths
+    if after is not None:
+        key, last = F.struct("path", "value", "id"), F.struct(F.array(*map(F.lit, after[0])).alias("path"), F.lit(after[1]).alias("value"), F.lit(after[2]).alias("id"))
+        rows = rows.filter(key < last if descending else key > last)
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in ("path", "value", "id")]
-    return rows.orderBy(*keys)
+    rows = rows.orderBy(*keys)
+    return rows if size is None else rows.limit(size)
+
+
+def fold_values(paths: DataFrame, path: list[str], op: str, value: float | str, descending: bool = False) -> DataFrame:
+    """(id, value) of leaves at a path that compare so (>, >=, <, =<, ==) with value, in order of value and id; numbers compare with numbers, texts with texts."""
+    if op not in _FOLDS:
+        raise QueryError("invalid_operator", op)
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    own = F.col("value").try_cast("double") if number else F.col("value")
+    rows = paths.filter((F.col("path") == F.array(*map(F.lit, path))) & (F.col("kind").isin("int", "float") if number else F.col("kind") == "text")).filter(_FOLDS[op](own, F.lit(value)))
+    keys = [own.desc() if descending else own.asc(), F.col("id").desc() if descending else F.col("id").asc()]
+    return rows.orderBy(*keys).select("id", "value")
+
+
+def by_value(paths: DataFrame, value: str, kind: str | None = None) -> DataFrame:
+    """Value first: (path, id) of every leaf with this value, wherever it stands."""
+    rows = paths.filter((F.col("value") == F.lit(value)) & (F.col("kind") == kind if kind else F.lit(True)))
+    return rows.select("path", "id").distinct()
 
 
 def postings(paths: DataFrame, path: list[str], value: str | None = None, prefix: str | None = None) -> DataFrame:
@@ -103,6 +128,18 @@ def postings(paths: DataFrame, path: list[str], value: str | None = None, prefix
     return rows.select("id").distinct()
 
 
+def posting_lists(paths: DataFrame, buckets: int = 16) -> DataFrame:
+    """Sorted lists of ids: (path, value, bucket, ids, n). A list is dealt over buckets by a hash of the id, so that one value of a third of all documents is no single row."""
+    each = paths.select("path", "value", "id").distinct().withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    return each.groupBy("path", "value", "bucket").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids"))
+
+
+def list_contains(lists: DataFrame, doc_id, buckets: int = 16) -> DataFrame:
+    """(path, value) of the lists that hold an id; only its bucket is looked into."""
+    own = F.lit(doc_id).cast(lists.schema["ids"].dataType.elementType)
+    return lists.filter((F.col("bucket") == F.pmod(F.xxhash64(own), F.lit(buckets)).cast("int")) & F.array_contains("ids", own)).select("path", "value")
+
+
 def intersection(*ids: DataFrame) -> DataFrame:
     """Ids in all of them, by semi joins; an empty one ends it early."""
     out = ids[0].distinct()
@@ -123,8 +160,18 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def path_dictionary(paths: DataFrame) -> DataFrame:
-    """(path, path_id): numbers from 0 in order of the paths. There is a row for each path that the documents use, so one task numbers them."""
-    from pyspark.sql import Window
-
-    used = paths.select(F.concat_ws("/", "path").alias("path")).distinct()
-    return used.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("path_id"))
+    """(path, path_id): numbers from 0 in order of the paths. Tasks number ranges of paths; where each range starts follows from the ranges' sizes, a row for each task."""
+    used = paths.select(F.concat_ws("/", "path").alias("path")).distinct().repartitionByRange("path").sortWithinPartitions("path").withColumn("place", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    start, at = 0, {}
+    for r in used.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        at[r.part], start = start, start + r.n
+    if not at:
+        return used.select("path", F.lit(0).alias("path_id"))
+    starts = F.create_map(*(F.lit(x) for kv in at.items() for x in kv))
+    return used.select("path", (starts[part] + place).cast("int").alias("path_id"))
+
+
+def reindex(paths: DataFrame, changed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The relation after some documents changed: theirs (ids: id) go, and `changed`, the leaves of those that are left, come in."""
+    return paths.join(ids.select("id").distinct(), "id", "left_anti").unionByName(changed)

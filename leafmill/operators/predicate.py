@@ -80,19 +80,24 @@ class Variant:
     def _tag(value: Column) -> Column:
         return F.schema_of_variant(value)
 
+    @staticmethod
+    def _cast_then_tag(test: Column, tag: Column) -> Column:
+        """Both; the tag, which costs more, is looked at only where the cast value passes."""
+        return F.coalesce(test, F.lit(False)) & tag
+
     def _same(self, value: Column, v: Any) -> Column:
         tag = self._tag(value)
         if v is None:
             return F.is_variant_null(value)
         if isinstance(v, bool):
-            return (tag == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(v))
+            return self._cast_then_tag(F.try_variant_get(value, "$", "boolean") == F.lit(v), tag == "BOOLEAN")
         if isinstance(v, int):
             whole = tag.isin("BIGINT", "TINYINT", "SMALLINT", "INT") | tag.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
-            return whole & (F.try_variant_get(value, "$", "decimal(38,0)") == F.lit(str(v)).cast("decimal(38,0)"))
+            return self._cast_then_tag(F.try_variant_get(value, "$", "decimal(38,0)") == F.lit(str(v)).cast("decimal(38,0)"), whole)
         if isinstance(v, float):
-            return (tag.isin("DOUBLE", "FLOAT") | tag.startswith("DECIMAL") & ~tag.rlike(r"^DECIMAL\((19|[23]\d),0\)$")) & (F.try_variant_get(value, "$", "double") == F.lit(v))
+            return self._cast_then_tag(F.try_variant_get(value, "$", "double") == F.lit(v), tag.isin("DOUBLE", "FLOAT") | tag.startswith("DECIMAL") & ~tag.rlike(r"^DECIMAL\((19|[23]\d),0\)$"))
         if isinstance(v, str):
-            return (tag == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(v))
+            return self._cast_then_tag(F.try_variant_get(value, "$", "string") == F.lit(v), tag == "STRING")
         return F.to_json(value) == F.lit(json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
     def compare(self, path: list, op: str, v: Any) -> Column:
@@ -102,10 +107,10 @@ class Variant:
             return self.exists(path) & ~F.coalesce(self.equals(path, v), F.lit(False))
         value = self.value(path)
         if isinstance(v, str):
-            return (self._tag(value) == "STRING") & _COMPARE[op](F.try_variant_get(value, "$", "string"), F.lit(v))
+            return self._cast_then_tag(_COMPARE[op](F.try_variant_get(value, "$", "string"), F.lit(v)), self._tag(value) == "STRING")
         if isinstance(v, bool) or not isinstance(v, (int, float)):
             return F.lit(False)
-        return self._numeric(value) & _COMPARE[op](self._number(value), F.lit(v))
+        return self._cast_then_tag(_COMPARE[op](self._number(value), F.lit(v)), self._numeric(value))
 
     def _numeric(self, value: Column) -> Column:
         return self._tag(value).rlike("^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL)")
@@ -125,10 +130,10 @@ class Variant:
         return F.exists(F.try_variant_get(self.value(path), "$", "array<variant>"), lambda e: F.coalesce(self._same(e, v), F.lit(False)))
 
     def regex(self, path: list, pattern: str) -> Column:
-        return (self._tag(self.value(path)) == "STRING") & F.try_variant_get(self.value(path), "$", "string").rlike(pattern)
+        return self._cast_then_tag(F.try_variant_get(self.value(path), "$", "string").rlike(pattern), self._tag(self.value(path)) == "STRING")
 
     def prefix(self, path: list, text: str) -> Column:
-        return (self._tag(self.value(path)) == "STRING") & F.try_variant_get(self.value(path), "$", "string").startswith(text)
+        return self._cast_then_tag(F.try_variant_get(self.value(path), "$", "string").startswith(text), self._tag(self.value(path)) == "STRING")
 
 
 def to_column(conditions: list[tuple], fields: Typed | Variant) -> Column:

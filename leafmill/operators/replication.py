@@ -58,10 +58,9 @@ def replicate(source: Side, target: Side, rep_id: str, paths: list[str] | None =
     log = source.log()
     last = C.last_seq(log).first().hlc
     end = since if last is None else max(since, Stamp(last.wall, last.logical))
-    changed = C.changes(log, since, paths=paths, query=query, body="body").select(F.col("id").alias("doc_id")).checkpoint()
-    wanted = source.revisions().join(changed, "doc_id", "left_semi")
-    nodes = wanted.groupBy("doc_id", "rev").agg(F.max("parent").alias("parent"), F.max("deleted").alias("deleted"), F.max("body").alias("body"), F.max("hlc").isNotNull().alias("current"))
-    missing = nodes.join(target.revisions().select("doc_id", "rev").distinct(), ["doc_id", "rev"], "left_anti").checkpoint()
+    changed = C.changed(log, since, paths=paths, query=query, body="body").select(F.col("id").alias("doc_id")).checkpoint()
+    wanted = source.revisions().select("doc_id", "rev", "parent", "deleted", "body").join(changed, "doc_id", "left_semi")
+    missing = wanted.join(target.revisions().select("doc_id", "rev").distinct(), ["doc_id", "rev"], "left_anti").checkpoint()
     n_docs, n_revs = changed.count(), missing.count()
     if n_revs:
         target.put_revs(missing)

@@ -13,21 +13,27 @@ from ..plans.conditions import QueryError
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    """Nodes without a child."""
-    parents = nodes.filter("parent is not null").select("doc_id", F.col("parent").alias("rev")).distinct()
-    return nodes.join(parents, ["doc_id", "rev"], "left_anti")
+    """Nodes without a child: doc_id, rev, deleted. One pass: each node speaks for itself and for its parent, and these meet in one aggregation."""
+    both = nodes.select("doc_id", F.explode(F.array(F.struct(F.col("rev").alias("rev"), F.col("deleted").alias("deleted"), F.lit(False).alias("child")), F.struct(F.col("parent").alias("rev"), F.lit(None).cast("boolean").alias("deleted"), F.lit(True).alias("child")))).alias("n"))
+    met = both.filter("n.rev is not null").groupBy("doc_id", F.col("n.rev").alias("rev")).agg(F.max("n.child").alias("child"), F.max("n.deleted").alias("deleted"))
+    return met.filter("not child").select("doc_id", "rev", "deleted")
 
 
 def winners(nodes: DataFrame) -> DataFrame:
     """(doc_id, rev, deleted) of the leaf with the highest generation, then the highest revision; a tombstone may win."""
-    best = leaves(nodes).groupBy("doc_id").agg(F.max_by(F.struct("rev", "deleted"), rev_key(F.col("rev"))).alias("w"))
+    return _best(leaves(nodes))
+
+
+def _best(leaf: DataFrame) -> DataFrame:
+    best = leaf.groupBy("doc_id").agg(F.max_by(F.struct("rev", "deleted"), rev_key(F.col("rev"))).alias("w"))
     return best.select("doc_id", "w.rev", "w.deleted")
 
 
 def conflicts(nodes: DataFrame) -> DataFrame:
-    """(doc_id, rev) of leaves that are neither deleted nor the winner."""
-    live = leaves(nodes).filter(~F.col("deleted")).select("doc_id", "rev")
-    return live.join(winners(nodes).select("doc_id", "rev"), ["doc_id", "rev"], "left_anti")
+    """(doc_id, rev) of leaves that are neither deleted nor the winner. Leaves are worked out once: Spark reuses their exchange."""
+    leaf = leaves(nodes)
+    won = _best(leaf).select("doc_id", F.col("rev").alias("won"))
+    return leaf.join(won, "doc_id").filter(~F.col("deleted") & (F.col("rev") != F.col("won"))).select("doc_id", "rev")
 
 
 def contains(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -55,18 +61,34 @@ def history(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> Da
 
 
 def prune(nodes: DataFrame, depth: int) -> DataFrame:
-    """The last depth revisions of every branch; nodes whose parent goes become roots."""
+    """The last depth revisions of every branch; nodes whose parent goes become roots.
+
+    A node keeps one number, its distance from the nearest leaf below, so a round has no more rows than there are nodes.
+    """
     if depth < 1:
         raise QueryError("invalid_depth", depth)
-    keep = history(nodes, leaves(nodes), depth).select("doc_id", "rev").distinct()
+    own = nodes.select("doc_id", "rev", "parent")
+    jump = own.join(own.select("doc_id", F.col("rev").alias("parent")), ["doc_id", "parent"], "left_semi").select("doc_id", "rev", F.col("parent").alias("up")).checkpoint()
+    near = leaves(nodes).select("doc_id", "rev", F.lit(0).alias("dist")).checkpoint()
+    step = 1
+    while step < depth and not jump.isEmpty():
+        more = near.join(jump, ["doc_id", "rev"]).select("doc_id", F.col("up").alias("rev"), (F.col("dist") + step).alias("dist")).filter(F.col("dist") < depth)
+        near = near.unionByName(more).groupBy("doc_id", "rev").agg(F.min("dist").alias("dist")).checkpoint()
+        step *= 2
+        if step < depth:
+            jump = jump.join(jump.select("doc_id", F.col("rev").alias("up"), F.col("up").alias("top")), ["doc_id", "up"]).select("doc_id", "rev", F.col("top").alias("up")).checkpoint()
+    keep = near.select("doc_id", "rev")
     kept = nodes.join(keep, ["doc_id", "rev"], "left_semi")
     there = keep.select("doc_id", F.col("rev").alias("parent"), F.lit(True).alias("there"))
     return kept.join(there, ["doc_id", "parent"], "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there").select(nodes.columns)
 
 
 def revs_diff(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Revisions of source (doc_id, rev) that target lacks, each with the target's revisions of a lower generation, which may be ancestors."""
+    """Revisions of source (doc_id, rev) that target lacks, each with the target's revisions of a lower generation, which may be ancestors.
+
+    A document's revisions at the target are one sorted list, made on the map side first, which each missing revision cuts at its own generation; no pairs of revisions are made.
+    """
     missing = source.select("doc_id", "rev").distinct().join(target.select("doc_id", "rev"), ["doc_id", "rev"], "left_anti")
-    theirs = target.select("doc_id", F.col("rev").alias("theirs")).distinct()
-    older = F.when(rev_key(F.col("theirs")).gen < rev_key(F.col("rev")).gen, F.col("theirs"))
-    return missing.join(theirs, "doc_id", "left").groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(older)).alias("possible_ancestors"))
+    theirs = target.groupBy("doc_id").agg(F.sort_array(F.collect_set("rev")).alias("theirs"))
+    older = F.filter("theirs", lambda r: rev_key(r).gen < rev_key(F.col("rev")).gen)
+    return missing.join(theirs, "doc_id", "left").select("doc_id", "rev", F.coalesce(older, F.array().cast("array<string>")).alias("possible_ancestors"))

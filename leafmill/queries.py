@@ -14,7 +14,7 @@ from .operators import changes as C
 from .operators import paths as P
 from .operators import revtree
 from .operators.find import find, find_page, get_many
-from .streaming.feed import path_events
+from .streaming.feed import path_events, query_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,10 +87,10 @@ def p_contains(spark, sf_dir):
     return find(docs, {"where": ("contains", ["words"], "the"), "select": [["lang"]], "include_docs": False}, "doc_id")
 
 
-@query("select vec_id as id from embeddings where list_contains(embedding, embedding[1]) and label = 1")
+@query("select doc_id as id from documents where list_contains(string_split(coalesce(text, ''), ' '), 'and') and lang is not null")
 def p_contains_list(spark, sf_dir):
-    vectors = _table(spark, sf_dir, "embeddings").filter(F.array_contains("embedding", F.get("embedding", F.lit(0))))
-    return find(vectors, {"where": ("path", ["label"], 1), "include_docs": False}, "vec_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.split(F.coalesce("text", F.lit("")), " ", -1).alias("words"))
+    return find(docs, {"where": [("contains", ["words"], "and"), ("exists", ["lang"])], "include_docs": False}, "doc_id")
 
 
 @query("select l_orderkey as id, l_linenumber, l_tax as \"?Tax\", l_returnflag as \"?Flag\" from lineitem where l_tax is not null and l_returnflag is not null and l_quantity > 45")
@@ -376,9 +376,9 @@ def changes_second_page(spark, sf_dir):
     return _changes(C.changes_page(log, C.changes_page(log, size=30).token, 30).rows)
 
 
-@query(_LOG + f"select count(distinct id) as n from log where wall > {_SINCE.wall}")
+@query(_LOG + f"select count(distinct id) as n from log where wall > {_SINCE.wall} or wall = {_SINCE.wall} and logical > {_SINCE.logical}")
 def changes_count(spark, sf_dir):
-    return _log(spark, sf_dir).filter(F.col("hlc.wall") > _SINCE.wall).agg(F.countDistinct("id").alias("n"))
+    return spark.range(1).select(F.lit(C.count_since(_log(spark, sf_dir), _SINCE)).cast("long").alias("n"))
 
 
 @query(_LOG + "select wall, logical, lpad(printf('%X', wall), 16, '0') || lpad(printf('%X', logical), 8, '0') as seq from log order by wall desc, logical desc limit 1")
@@ -398,9 +398,7 @@ def sub_path_hash(spark, sf_dir):
 
 @query("select user_id as id, '1-' || event_id as rev from events where event_type <> 'signup' and event_type = 'error' and value >= 5")
 def sub_query(spark, sf_dir):
-    log = _log(spark, sf_dir)
-    keep, _ = C.change_filter(log, query=[("path", ["event_type"], "error"), ("compare", ["value"], ">=", 5)])
-    return log.filter(~F.col("deleted") & keep).select("id", "rev")
+    return query_events(_log(spark, sf_dir), {"where": [("path", ["event_type"], "error"), ("compare", ["value"], ">=", 5)]}, None).select("id", "rev")
 
 
 # --- revision trees: a customer is a document, its n-th order a revision whose parent is the (n div 2)-th ---
@@ -478,15 +476,6 @@ def revs_diff(spark, sf_dir):
     return revtree.revs_diff(nodes, nodes.filter(~F.col("deleted"))).select("doc_id", "rev", F.array_join("possible_ancestors", ",").alias("ancestors"))
 
 
-@query("select o_orderkey as id, o_orderstatus from orders where o_orderstatus = 'F' and o_totalprice > 200000 and o_orderkey not in (select o_orderkey from orders where o_orderpriority = '5-LOW')")
-def replicate_filtered(spark, sf_dir):
-    """What a run that is filtered by path and query has to copy to a target that holds the orders of low priority."""
-    orders = _table(spark, sf_dir, "orders")
-    keep, _ = C.change_filter(orders, paths=["o_orderstatus/F"], query=[("compare", ["o_totalprice"], ">", 200000)])
-    target = orders.filter("o_orderpriority = '5-LOW'").select("o_orderkey")
-    return orders.filter(keep).join(target, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
-
-
 _HLC = "epoch_us(ts)"
 
 
@@ -500,3 +489,6 @@ def hlc_compare(spark, sf_dir):
     from .functions.hlc import literal
 
     return _log(spark, sf_dir).select(F.col("hlc.logical").alias("event_id"), order(F.col("hlc"), literal(_SINCE)).cast("int").alias("c"))
+
+
+from . import store_queries  # noqa: E402, F401 - it adds its own queries

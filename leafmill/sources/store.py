@@ -1,7 +1,11 @@
 """A document database on Parquet: an append-only log of revisions, written in batches that one rename commits.
 
-Layout: revs/batch=N holds the revisions of batch N; kv holds local documents; attachments holds blobs in chunks. One writer at a
-time, as many readers as wanted; a reader's snapshot is the number of the last batch that it takes into account.
+Layout: revs/batch=N holds the revisions of batch N, and revs/base=N, after a compaction, what is left of all batches up to N; kv holds local
+documents, system those of the system; attachments holds blobs in chunks. One writer at a time, as many readers as wanted; a reader's snapshot is the
+number of the last batch that it takes into account. A base counts from the rename that makes it visible, and hides the batches up to N.
+
+A row with an hlc is an entry of the changes feed, and stands for its document's winner at that time. Where a write leaves an older revision
+the winner, its row is entered again; such rows (`again`) are in the feed, but are no revisions of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from ..functions import revs as R
 from ..functions.hlc import Clock, Stamp
 from ..functions.values import make_record
 from ..operators import revtree
-from ..operators.find import Page, find, find_page, fold_docs
+from ..operators.find import Page, find, find_page, fold_docs, get_many
 from ..plans.conditions import QueryError
 from ..plans.query import compile_query
 from .attachments import Attachments
@@ -27,7 +31,10 @@ from .keyvalue import KeyValue
 
 NAME = re.compile(r"_?[a-z0-9_-]{1,63}")
 _STAMP = T.StructType([T.StructField("wall", T.LongType()), T.StructField("logical", T.LongType())])
-_KINDS = {"doc_id": T.StringType(), "rev": T.StringType(), "parent": T.StringType(), "deleted": T.BooleanType(), "hlc": _STAMP, "body": T.StringType()}
+_KINDS = {"doc_id": T.StringType(), "rev": T.StringType(), "parent": T.StringType(), "deleted": T.BooleanType(), "hlc": _STAMP, "body": T.StringType(), "again": T.BooleanType()}
+#: Up to so many documents are looked up by a filter on their ids.
+FEW_IDS = 500
+_GIVEN = "doc_id string, rev string, parent string, deleted boolean, body string"
 REVS = T.StructType([T.StructField(n, k) for n, k in _KINDS.items()])
 
 
@@ -67,28 +74,53 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, clock: Clock | None = None):
         self.spark, self.folder, self.clock = spark, Folder(spark, root), clock or Clock()
         self.local = KeyValue(spark, self.folder.path("kv"))
+        self.system = KeyValue(spark, self.folder.path("system"))
         self.attachments = Attachments(spark, self.folder.path("attachments"))
+        self._met = False
 
     # --- reading ---
 
+    def _parts(self) -> tuple[int, list[int]]:
+        """The number of the base (0 without one) and those of the batches after it."""
+        names = self.folder.names("revs")
+        base = max((int(n[5:]) for n in names if n.startswith("base=")), default=0)
+        return base, sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) > base)
+
     def snapshot(self) -> int:
         """The last committed batch; 0 if there is none."""
-        return max((int(n[6:]) for n in self.folder.names("revs") if n.startswith("batch=")), default=0)
+        base, batches = self._parts()
+        return batches[-1] if batches else base
+
+    def _rows(self, as_of: int | None = None) -> DataFrame:
+        base, batches = self._parts()
+        if as_of is not None and as_of < base:
+            raise QueryError("snapshot_expired", as_of)
+        found = [self.folder.path("revs", f"batch={n:012d}") for n in batches if as_of is None or n <= as_of]
+        found += [self.folder.path("revs", f"base={base:012d}")] if base else []
+        return self.spark.read.schema(REVS).parquet(*found) if found else self.spark.createDataFrame([], REVS)
 
     def revisions(self, as_of: int | None = None) -> DataFrame:
-        """Every revision up to a snapshot: doc_id, rev, parent, deleted, hlc, body (JSON text; null where only the history is known)."""
-        last = self.snapshot() if as_of is None else as_of
-        found = [self.folder.path("revs", n) for n in self.folder.names("revs") if n.startswith("batch=") and int(n[6:]) <= last]
-        return self.spark.read.schema(REVS).parquet(*found) if found else self.spark.createDataFrame([], REVS)
+        """Every revision up to a snapshot, once: doc_id, rev, parent, deleted, hlc, body (JSON text; null where only the history is known)."""
+        return self._rows(as_of).filter(~F.coalesce("again", F.lit(False))).drop("again")
 
     def log(self, as_of: int | None = None) -> DataFrame:
         """The log that the changes feed reads, with a VARIANT body; each row stands for its document's winner at that time."""
-        rows = self.revisions(as_of).filter("hlc is not null")
+        rows = self._rows(as_of).filter("hlc is not null")
         return rows.select(F.col("doc_id").alias("id"), "rev", "deleted", "hlc", F.try_parse_json("body").alias("body"))
 
+    def _of(self, ids: DataFrame, column: str) -> DataFrame:
+        """Revisions of the documents in ids. A few ids reach the scan as a filter; more are a semi join."""
+        few = [r[0] for r in ids.select(column).distinct().limit(FEW_IDS + 1).collect()]
+        if len(few) <= FEW_IDS:
+            return self.revisions().filter(F.col("doc_id").isin(*few)) if few else self.revisions().filter(F.lit(False))
+        return self.revisions().join(ids.select(F.col(column).alias("doc_id")).distinct(), "doc_id", "left_semi")
+
     def entities(self, as_of: int | None = None) -> DataFrame:
         """Each document's winner: id, rev, deleted, json."""
-        rows = self.revisions(as_of)
+        return self._winners(self.revisions(as_of))
+
+    @staticmethod
+    def _winners(rows: DataFrame) -> DataFrame:
         won = revtree.winners(rows).select("doc_id", "rev")
         bodies = rows.groupBy("doc_id", "rev").agg(F.max("body").alias("json"), F.max("deleted").alias("deleted"))
         return bodies.join(won, ["doc_id", "rev"], "left_semi").select(F.col("doc_id").alias("id"), "rev", "deleted", "json")
@@ -111,8 +143,9 @@ class Store:
 
     def get_many(self, ids: list[str], as_of: int | None = None) -> DataFrame:
         """In the order asked for: pos, id, found, rev, body."""
-        wanted = self.spark.createDataFrame([*enumerate(ids)], "pos int, id string")
-        return F.broadcast(wanted).join(self.docs(as_of), "id", "left").select("pos", "id", F.col("rev").isNotNull().alias("found"), "rev", "body").orderBy("pos")
+        own = self.revisions(as_of).filter(F.col("doc_id").isin(*ids)) if ids else self.revisions(as_of).filter(F.lit(False))
+        docs = self._winners(own).filter(~F.col("deleted")).select("id", "rev", F.parse_json(F.coalesce("json", F.lit("{}"))).alias("body"))
+        return get_many(docs, ids, "id").select("pos", "id", "found", "rev", "body")
 
     def find(self, spec: dict, as_of: int | None = None) -> DataFrame:
         return find(self.docs(as_of), spec, "id", "body")
@@ -137,25 +170,36 @@ class Store:
 
     def _stamped(self) -> Column:
         """Stamps of a batch's rows: the wall moves on with the partition, logical is the place in it. No row waits for another."""
-        wall, row = self.clock.now().wall, F.monotonically_increasing_id()
+        if not self._met:  # a clock that is new to this store starts behind its last entry
+            top = self._rows().agg(F.max("hlc").alias("m")).first().m
+            if top is not None:
+                self.clock.after(Stamp(top.wall, top.logical))
+            self._met = True
+        now, row = self.clock.now(), F.monotonically_increasing_id()
+        wall = now.wall + (now.logical > 0)
         return F.struct((F.lit(wall) + F.shiftright(row, 33)).cast("long").alias("wall"), row.bitwiseAND(F.lit((1 << 33) - 1)).cast("long").alias("logical"))
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        """Rows as a folder below revs, made visible by one rename; sorted by document within a file, which lets a look-up pass over row groups."""
+        staged = f"staging-{uuid.uuid4().hex}"
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in REVS.fields)).write.parquet(self.folder.path(staged))
+        self.folder.rename((staged,), ("revs", name))
+
     def _commit(self, rows: DataFrame) -> int:
-        """Writes rows (doc_id, rev, parent, deleted, body, current) as one batch. Rows that are not current are history only."""
-        staged, number = f"staging-{uuid.uuid4().hex}", self.snapshot() + 1
-        stamped = rows.withColumn("hlc", F.when(F.col("current"), self._stamped()))
-        stamped.select(*(F.col(f.name).cast(f.dataType) for f in REVS.fields)).write.parquet(self.folder.path(staged))
-        top = self.spark.read.schema(REVS).parquet(self.folder.path(staged)).agg(F.max("hlc").alias("m")).first().m
+        """Writes rows (doc_id, rev, parent, deleted, body, current, again) as one batch. Rows that are not current are history only; one row of a document is current at most."""
+        number = self.snapshot() + 1
+        stamped = rows.sortWithinPartitions("doc_id").withColumn("hlc", F.when(F.col("current"), self._stamped()))
+        self._write(stamped, f"batch={number:012d}")
+        top = self.spark.read.schema(REVS).parquet(self.folder.path("revs", f"batch={number:012d}")).agg(F.max("hlc").alias("m")).first().m
         if top is not None:
-            self.clock.sync(Stamp(top.wall, top.logical))
-        self.folder.rename((staged,), ("revs", f"batch={number:012d}"))
+            self.clock.after(Stamp(top.wall, top.logical))
         return number
 
     def put_docs(self, docs: DataFrame) -> DataFrame:
         """docs (id, body JSON text, and as wanted rev, deleted) written if they fit; the result has a row for each: id, rev, ok, error.
 
         A document is new, or names the winner's revision in rev; anything else is a "conflict". A deleted document may be
-        made again without a rev. Of rows with one id the first by rev and body counts and others conflict. Bodies that are no JSON object
+        made again without a rev. Of rows with one id the first by rev and body counts and others conflict, equal ones too. Bodies that are no JSON object
         are "invalid_doc". Names that start with "_" are dropped from bodies.
         """
         have = set(docs.columns)
@@ -164,16 +208,16 @@ class Store:
             (F.col("rev") if "rev" in have else F.lit(None)).cast("string").alias("given"), (F.coalesce("deleted", F.lit(False)) if "deleted" in have else F.lit(False)).alias("gone"),
         )
         fields = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: ~k.startswith("_"))
-        rows = rows.withColumn("body", F.to_json(fields)).drop("v").checkpoint()
-        first = rows.groupBy("id").agg(F.min(F.struct(F.coalesce("given", F.lit("")).alias("g"), F.coalesce("body", F.lit("")).alias("b"))).alias("first"), F.count("*").alias("n"))
-        now = self.entities().select("id", F.col("rev").alias("now"), F.col("deleted").alias("was_gone"))
+        rows = rows.withColumn("body", F.to_json(fields)).drop("v").withColumn("place", F.monotonically_increasing_id()).checkpoint()
+        first = rows.groupBy("id").agg(F.min(F.struct(F.coalesce("given", F.lit("")).alias("g"), F.coalesce("body", F.lit("")).alias("b"), F.col("place").alias("p"))).getField("p").alias("first"))
+        now = self._winners(self._of(rows, "id")).select("id", F.col("rev").alias("now"), F.col("deleted").alias("was_gone"))
         judged = rows.join(first, "id").join(now, "id", "left")
-        chosen = (F.coalesce("given", F.lit("")) == F.col("first.g")) & (F.coalesce("body", F.lit("")) == F.col("first.b"))
+        chosen = F.col("place") == F.col("first")
         fits = F.when(F.col("now").isNull(), F.col("given").isNull() & ~F.col("gone")).when(F.col("given").isNull(), F.col("was_gone")).otherwise(F.col("given") == F.col("now"))
         error = F.when(F.col("body").isNull() & ~F.col("gone"), "invalid_doc").when(F.col("now").isNull() & F.col("gone"), "not_found").when(~chosen | ~F.coalesce(fits, F.lit(False)), "conflict")
         judged = judged.withColumn("error", error).withColumn("parent", F.col("now")).withColumn("new", R.rev_of(F.col("body"), F.col("now"), F.col("gone"))).checkpoint()
-        good = judged.filter("error is null").dropDuplicates(["id"])
-        self._commit(good.select(F.col("id").alias("doc_id"), F.col("new").alias("rev"), "parent", F.col("gone").alias("deleted"), "body", F.lit(True).alias("current")))
+        good = judged.filter("error is null")
+        self._commit(good.select(F.col("id").alias("doc_id"), F.col("new").alias("rev"), "parent", F.col("gone").alias("deleted"), "body", F.lit(True).alias("current"), F.lit(False).alias("again")))
         ok = F.col("error").isNull()
         return judged.select("id", F.when(ok, F.col("new")).alias("rev"), ok.alias("ok"), "error")
 
@@ -194,16 +238,27 @@ class Store:
         return self.put({"id": doc_id, "_rev": rev, "_deleted": True})
 
     def put_revs(self, rows: DataFrame) -> int:
-        """Revisions with their history, as they are: doc_id, rev, parent, deleted, body, current. What the store has is passed over; the batch's number."""
-        new = rows.dropDuplicates(["doc_id", "rev"]).join(self.revisions().select("doc_id", "rev"), ["doc_id", "rev"], "left_anti")
-        return self._commit(new)
+        """Revisions with their history, as they are: doc_id, rev, parent, deleted, body. What the store has is passed over; the batch's number.
+
+        The feed gets each document's winner after the write, be it new or not, and nothing of the history below.
+        """
+        new = rows.groupBy("doc_id", "rev").agg(F.max("parent").alias("parent"), F.max("deleted").alias("deleted"), F.max("body").alias("body")).checkpoint()
+        old = self._of(new, "doc_id").select("doc_id", "rev", "parent", "deleted", "body")
+        new = new.join(old.select("doc_id", "rev"), ["doc_id", "rev"], "left_anti").withColumn("new", F.lit(True))
+        # documents that only bring what the store has are no change
+        touched = new.select("doc_id").distinct()
+        tree = new.unionByName(old.join(touched, "doc_id", "left_semi").withColumn("new", F.lit(False))).checkpoint()
+        won = revtree.winners(tree).select("doc_id", F.col("rev").alias("won"))
+        current = F.col("rev") == F.col("won")
+        entered = tree.join(won, "doc_id").filter(F.col("new") | current)
+        return self._commit(entered.select("doc_id", "rev", "parent", "deleted", "body", current.alias("current"), (~F.col("new")).alias("again")))
 
     def put_rev(self, doc_id: str, body: str, history: list[str], deleted: bool = False) -> None:
         """One revision with an explicit history, newest first."""
-        rows = [(doc_id, r, history[i + 1] if i + 1 < len(history) else None, deleted and i == 0, body if i == 0 else None, i == 0) for i, r in enumerate(history)]
+        rows = [(doc_id, r, history[i + 1] if i + 1 < len(history) else None, deleted and i == 0, body if i == 0 else None) for i, r in enumerate(history)]
         for r in history:
             R.parse_rev(r)
-        self.put_revs(self.spark.createDataFrame(rows, "doc_id string, rev string, parent string, deleted boolean, body string, current boolean"))
+        self.put_revs(self.spark.createDataFrame(rows, _GIVEN))
 
     def resolve(self, doc_id: str, rev: str, choose: str | None = None, merged: str | None = None) -> str:
         """Ends the conflicts of a document whose winner is rev: by choosing a leaf, or with a merged body. The revision that then wins."""
@@ -219,28 +274,33 @@ class Store:
         body = merged if merged is not None else self.get(doc_id, rev=choose)["body"]
         out, rows = rev, []
         for loser in now["conflicts"]:
-            rows.append((doc_id, R.make_rev(R.parse_rev(loser)[0] + 1, R.parse_rev(R.next_rev(None, loser, True))[1]), loser, True, None, False))
+            rows.append((doc_id, R.make_rev(R.parse_rev(loser)[0] + 1, R.parse_rev(R.next_rev(None, loser, True))[1]), loser, True, None))
         if choose != rev:  # a child of the winner, far enough above the tombstones
             out = R.next_rev(body, rev)
-            rows.append((doc_id, out, rev, False, body, True))
+            rows.append((doc_id, out, rev, False, body))
         top = max(R.parse_rev(r[1]) for r in rows if r[3])
         while R.parse_rev(out) < top:
             parent, out = out, R.next_rev(body, out)
-            rows.append((doc_id, out, parent, False, body, True))
-        self.put_revs(self.spark.createDataFrame(rows, "doc_id string, rev string, parent string, deleted boolean, body string, current boolean"))
+            rows.append((doc_id, out, parent, False, body))
+        self.put_revs(self.spark.createDataFrame(rows, _GIVEN))
         return out
 
     def compact(self, depth: int = 1000) -> int:
-        """Keeps the last depth revisions of each branch, and one batch instead of many. Older snapshots end with it."""
-        rows = self.revisions()
+        """Keeps the last depth revisions of each branch and the last entry of each document in the feed, in one base. The number of the last batch in it.
+
+        Snapshots before it end. Readers see the batches or the base, never both, and streams pass over what they delivered already.
+        """
+        rows = self._rows()
         one = rows.groupBy("doc_id", "rev").agg(F.max("parent").alias("parent"), F.max("deleted").alias("deleted"), F.max("hlc").alias("hlc"), F.max("body").alias("body"))
         kept = revtree.prune(one, depth).checkpoint()
         leaf = revtree.leaves(kept).select("doc_id", "rev", F.lit(True).alias("leaf"))
-        slim = kept.join(leaf, ["doc_id", "rev"], "left").withColumn("body", F.when(F.col("leaf"), F.col("body")))
-        number, staged = self.snapshot() + 1, f"staging-{uuid.uuid4().hex}"
-        old = [n for n in self.folder.names("revs") if n.startswith("batch=")]
-        slim.select(*(f.name for f in REVS.fields)).write.parquet(self.folder.path(staged))
-        self.folder.rename((staged,), ("revs", f"batch={number:012d}"))
+        last = kept.groupBy("doc_id").agg(F.max("hlc").alias("last"))
+        slim = kept.join(leaf, ["doc_id", "rev"], "left").join(last, "doc_id").select("doc_id", "rev", "parent", "deleted", F.when(F.col("hlc") == F.col("last"), F.col("hlc")).alias("hlc"), F.when(F.col("leaf"), F.col("body")).alias("body"), F.lit(False).alias("again"))
+        number, old = self.snapshot(), self.folder.names("revs")
+        name = f"base={number:012d}"
+        if not number or name in old:  # nothing came in since the last one
+            return number
+        self._write(slim.sortWithinPartitions("doc_id"), name)
         for n in old:
             self.folder.delete("revs", n)
         return number

@@ -97,6 +97,9 @@ def test_merge_ends_a_conflict_and_compaction_keeps_it(store):
     store.compact(1)
     after = store.get("d", conflicts=True)
     assert json.loads(after["body"]) == {"v": 11} and after["conflicts"] == [] and store.snapshot() > 1
+    with pytest.raises(QueryError, match="snapshot_expired"):
+        store.revisions(1)
+    assert [n for n in store.folder.names("revs")] == [f"base={store.snapshot():012d}"] and store.compact(1) == store.snapshot()
 
 
 def test_changes_feed(store):
@@ -214,7 +217,7 @@ def test_subscriptions(spark, tmp_path, store):
     def go():
         subs.subscribe("paths", ["users/+/profile/#", "type/user"], keep("paths"), once=True)
         subs.subscribe_query("query", {"where": [("compare", ["n"], ">", 1)]}, keep("query"), once=True)
-        subs.push("push", keep("push"), once=True)
+        subs.push("push", lambda rows, _: seen["push"].extend(r.id for r in rows), once=True)
         for q in subs.active.values():
             q.awaitTermination(60)
             assert q.exception() is None
@@ -241,3 +244,106 @@ def test_operations(spark):
         df, seen = observed(spark.range(5), "five", top=F.max("id"))
         df.collect()
     assert seen.get == {"n": 5, "top": 4} and m.export()["q"]["count"] == 1
+
+
+def test_the_feed_carries_the_winner(store):
+    """A losing branch moves its document to the end of the feed, with the revision that still wins."""
+    rev = store.put({"id": "d0", "v": 1})
+    rev = store.put({"id": "d0", "v": 2, "_rev": rev})
+    store.put({"id": "d1"})
+    store.put_rev("d0", '{"v": 0}', ["1-00aa"])
+    rows = C.changes(store.log(), body="body", include_docs=True).collect()
+    assert [(r.id, r.rev) for r in rows][-1] == ("d0", rev) and json.loads(str(rows[-1].body)) == {"v": 2}
+    assert store.conflicts("d0") == ["1-00aa"] and store.revisions().count() == 4
+    store.put_rev("d0", '{"v": 9}', ["3-ff", rev])
+    assert C.changes(store.log(), body="body").collect()[-1].rev == "3-ff" and store.conflicts("d0") == ["1-00aa"]
+    before = store.snapshot()
+    store.put_rev("d0", '{"v": 9}', ["3-ff", rev])
+    assert C.count_since(store.log(), FIRST) == 2 and C.changes(store.log(before), body="body").collect() == C.changes(store.log(), body="body").collect()
+
+
+def test_equal_rows_of_a_batch(store):
+    got = load(store, [{"id": "dup", "v": 1}] * 3).collect()
+    assert sorted((r.ok, r.error) for r in got) == [(False, "conflict"), (False, "conflict"), (True, None)] and store.revisions().count() == 1
+
+
+def test_replication_of_long_histories(spark, tmp_path):
+    """Twelve generations, a losing branch, partitions not coalesced: the target's feed shows what the source's does."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a, b = Store(spark, f"file://{tmp_path}/a"), Store(spark, f"file://{tmp_path}/b")
+        history = [(f"d{d}", make_rev(g, f"{d}{g}"), make_rev(g - 1, f"{d}{g - 1}") if g > 1 else None, False, json.dumps({"g": g})) for d in range(8) for g in range(1, 13)]
+        for upto in (4, 9, 12):
+            a.put_revs(spark.createDataFrame([h for h in history if int(h[1].split("-")[0]) <= upto], "doc_id string, rev string, parent string, deleted boolean, body string"))
+        a.put_rev("d3", '{"g": 0}', ["2-zz", "1-31"])
+        assert replicate(a, b, "r")["revs_written"] == 97
+        feed = lambda s: {r.id: r.rev for r in C.changes(s.log(), body="body").collect()}
+        assert feed(a) == feed(b) == {f"d{d}": f"12-{d}12" for d in range(8)} and b.conflicts("d3") == ["2-zz"]
+        a.compact(3)
+        assert feed(a) == feed(b) and a.revisions().groupBy("doc_id").count().filter("doc_id <> 'd3' and count <> 3").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_streams_deliver_once_over_compactions(spark, tmp_path, store):
+    """Before, over and after a compaction; one that was away during it gets what it missed, once."""
+    seen = {"near": [], "far": []}
+    subs = Subscriptions(store, f"file://{tmp_path}/ck")
+
+    def go(*names):
+        for n in names:
+            subs.push(n, lambda rows, _, n=n: seen[n].extend(r.id for r in rows), once=True)
+            subs.active[n].awaitTermination(90)
+            assert subs.active[n].exception() is None
+
+    load(store, [{"id": f"a{i}"} for i in range(25)])
+    go("near", "far")
+    load(store, [{"id": f"b{i}"} for i in range(5)])
+    go("near")
+    store.put({"id": "a0", "v": 2, "_rev": store.get("a0")["rev"]})
+    store.compact()
+    go("near", "far")
+    go("near", "far")
+    load(store, [{"id": "c"}])
+    go("near", "far")
+    assert sorted(seen["near"]) == sorted([*(f"a{i}" for i in range(25)), *(f"b{i}" for i in range(5)), "a0", "c"]) == sorted(seen["far"])
+    fresh = []
+    subs.push("new", lambda rows, _: fresh.extend(r.id for r in rows), once=True)
+    subs.active["new"].awaitTermination(90)
+    assert len(fresh) == len(set(fresh)) == 31
+
+
+def test_push_batches_and_payload(spark, tmp_path, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from leafmill.streaming.feed import in_batches, path_events
+
+    load(store, [{"id": f"d{i:03d}", "a": {"b": i}, "t": ["x", "y"]} for i in range(250)])
+    sizes, order, open_now, most = [], [], [], []
+    log = store.log().select("id", "rev", "hlc", "deleted")
+    with ThreadPoolExecutor(8) as pool:
+
+        def deliver(rows, n):
+            open_now.append(n)
+            most.append(len(open_now))
+            sizes.append(len(rows))
+            order.extend(r.hlc for r in rows)
+            return pool.submit(lambda: open_now.remove(n))
+
+        assert in_batches(log, deliver, 100) == 3 and in_batches(log, deliver, 10, 5) == 25
+    assert sizes[:3] == [100, 100, 50] and order[:250] == sorted(order[:250]) and max(most) <= 5
+    with pytest.raises(ZeroDivisionError), ThreadPoolExecutor(1) as pool:
+        in_batches(log, lambda rows, n: pool.submit(lambda: 1 // 0), 100)
+    events = path_events(store.log(), "a/b/7").collect()
+    assert [(r.id, sorted(r.paths)) for r in events] == [("d007", ["a/b/7", "id/d007", "t/0/x", "t/1/y"])]
+
+
+def test_local_documents_compact_and_system_documents(store):
+    store.local.put_all({"a": 1, "b": 2})
+    store.local.delete("b")
+    store.local.compact()
+    store.local.put("c", 3)
+    assert store.local.get("a") == 1 and store.local.get("b") is None and store.local.fold("", lambda k, v, acc: [*acc, k], []) == ["a", "c"]
+    store.system.put("a", "system")
+    assert store.local.get("a") == 1 and store.system.get("a") == "system" and store.docs().isEmpty()
