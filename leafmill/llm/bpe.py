@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, powers, prepare
+from .common import blocks, mix, powers, prepare, release, released
 from .pretokens import pieces, pretokens
 
 #: The broadcast dictionary: so many words, of so many bytes each, at most.
@@ -199,7 +199,7 @@ def match_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with their counts in each block, without those too long for the dictionary."""
     for batch in batches:
-        for _, _, data, offs in blocks(batch.column(0), 2 << 20):
+        for _, _, data, offs in blocks(batch.column(0)):
             starts, _ = pretokens(data, offs)
             _, index, n = np.unique(match_hashes(data, starts), return_index=True, return_counts=True)
             short = (starts[index + 1] - starts[index]) <= HOT_BYTES
@@ -295,7 +295,7 @@ def _encoded(hot, tokens, names: list[str], more: list[str]):
 
 def dictionary(docs: DataFrame, tokens: list[bytes], text: str = "text", hot_words: int = HOT_WORDS) -> tuple[np.ndarray, ...]:
     """The most frequent words of all documents with their ids: at most hot_words of HOT_BYTES each. Words of nearly one count come in together or not at all."""
-    counts = docs.select(text).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").checkpoint()
+    counts = docs.select(text).mapInArrow(released(_counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").checkpoint()
     # a histogram of the counts' logarithms, a few hundred rows, tells from which count on words fit in; no task sorts them all
     step = F.floor(F.log2("n") * STEPS)
     room, least = hot_words, None
@@ -309,7 +309,7 @@ def dictionary(docs: DataFrame, tokens: list[bytes], text: str = "text", hot_wor
     table = fold_words(groups.repartition(parts, "g"), rank_map(docs.sparkSession, tokens)).toArrow()
     out = Dictionary.build(_flat(table.column("word")), _flat(table.column("ids")))
     del table
-    pa.default_memory_pool().release_unused()
+    release()
     return out
 
 
@@ -338,4 +338,4 @@ def encode_decode(docs: DataFrame, path: str, keys: list[str] | None = None, tex
     more = {"ids": "array<int>"} if ids else {}
     more |= {"decoded": "binary"} if decoded else {}
     kinds = "".join(f", {n} {k}" for n, k in more.items())
-    return docs.select(*keys, F.col(text)).mapInArrow(_encoded(hot, listed, keys, list(more)), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{kinds}")
+    return docs.select(*keys, F.col(text)).mapInArrow(released(_encoded(hot, listed, keys, list(more))), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{kinds}")

@@ -6,7 +6,8 @@ array with offsets, so cost per document stays low and memory is bounded by the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,27 @@ def prepare(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
 
 
+def release() -> None:
+    """Gives memory that is free but kept by the allocators back to the system; workers and drivers live on between jobs and would pile it up."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run, a function of mapInArrow, that gives its memory back when a task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix, prepare
+from .common import SPACES, mix, prepare, released
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
 
@@ -82,7 +82,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     count one by one in group_size and share their verdict. Other columns are ignored. No rows give no rows.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_recipes, "doc_id long, n_points long, n_bytes long, text_sha256 string, recipe array<long>, v1 array<long>, v2 array<long>").checkpoint()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_recipes), "doc_id long, n_points long, n_bytes long, text_sha256 string, recipe array<long>, v1 array<long>, v2 array<long>").checkpoint()
     chunks = rows.select(F.explode(F.arrays_zip("recipe", "v1", "v2")).alias("c")).select("c.recipe", "c.v1", "c.v2")
     clash = chunks.groupBy("recipe").agg(F.min("v1").alias("a"), F.max("v1").alias("b"), F.min("v2").alias("c"), F.max("v2").alias("d")).filter("a != b or c != d").select("recipe").checkpoint()
     if not clash.isEmpty():  # two contents under one identifier: use one made of the content

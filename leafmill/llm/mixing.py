@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, blocks, prepare
+from .common import IS_SPACE, blocks, prepare, released
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     them gets a copy does not matter where they are equal. Other columns are ignored. No rows give no rows.
     """
     prepare(docs.sparkSession)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_word_counts, "doc_id long, source string, size long").checkpoint()
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(released(_word_counts), "doc_id long, source string, size long").checkpoint()
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).checkpoint()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the id of a row in its sorted part, and each source's count in each part, make its rank in the source

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Words, blocks, mix, prepare, shingles, signed
+from .common import IS_SPACE, Words, blocks, mix, prepare, released, shingles, signed
 from .components import components, parts_for
 
 BANDS, ROWS = 32, 5
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = texts.mapInArrow(_sketched(k, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>").checkpoint()
+    drawn = texts.mapInArrow(released(_sketched(k, bands, rows)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>").checkpoint()
     classes = drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")).checkpoint()
     head = F.when(F.col("doc_id") == F.col("class_id"), F.col("bands"))
     member = drawn.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), head.alias("bands")).checkpoint()
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     few_parts, parts = parts_for(stars.count()), parts_for(crowded.count())
     stars = stars.coalesce(few_parts)
     wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct().coalesce(few_parts).checkpoint()
-    sets = texts.join(wanted, "doc_id").mapInArrow(_set_rows(k), "node long, n long, parity array<long>, shingles array<long>").checkpoint()
+    sets = texts.join(wanted, "doc_id").mapInArrow(released(_set_rows(k)), "node long, n long, parity array<long>, shingles array<long>").checkpoint()
     links = _verified(stars, sets, num, den).coalesce(4 * few_parts).checkpoint()
     labels = components(links)
 

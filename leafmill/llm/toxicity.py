@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_TERM, Words, blocks, fold_of, prepare, signed
+from .common import IS_TERM, Words, blocks, fold_of, prepare, release, released, signed
 from .labelled import TRAIN_ROWS, labelled_sample
 
 #: Bytes of the prefixes that are terms too.
@@ -102,7 +102,7 @@ def _known_rows(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.nd
                 sizes = np.bincount(text, minlength=j - i)
                 yield pa.record_batch([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(term.astype(np.int16)))], names=["y", "key", "terms"])
 
-    rows = sample.select("text", "y", _row().alias("key")).mapInArrow(found, "y int, key long, terms array<short>").orderBy("key").toArrow()
+    rows = sample.select("text", "y", _row().alias("key")).mapInArrow(released(found), "y int, key long, terms array<short>").orderBy("key").toArrow()
     lists = rows.column("terms").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     return rows.column("key").to_numpy(), rows.column("y").to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
@@ -197,12 +197,13 @@ def pair_terms(sample: DataFrame, kept: np.ndarray, common: np.ndarray, n_terms:
             best = sure.argmax(axis=1)
             out += [(int(names[t]), int(signed(seeds)[b]), float(v)) for t, b, v in zip(now, best, sure[np.arange(k), best], strict=True) if v >= bar]
         cols = list(zip(*out, strict=True)) or [()] * 3
+        release()
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["term", "partner", "evidence"])
 
-    pairs = sample.select("text", _row().alias("key")).mapInArrow(postings, "g int, terms binary, counts binary, rows binary").groupBy("g").applyInArrow(judged, "term long, partner long, evidence double")
+    pairs = sample.select("text", _row().alias("key")).mapInArrow(released(postings), "g int, terms binary, counts binary, rows binary").groupBy("g").applyInArrow(judged, "term long, partner long, evidence double")
     got = pairs.orderBy(F.col("evidence").desc(), "term").limit(most).collect()
     shared.unpersist()
-    pa.default_memory_pool().release_unused()
+    release()
     return np.unique(np.array([x for r in got for x in (r.term, r.partner)], np.int64).view(np.uint64))
 
 
@@ -238,7 +239,7 @@ def fit(x_text: np.ndarray, x_term: np.ndarray, y: np.ndarray, terms: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms: int = MAX_TERMS, deviations: float = LEAST_DEVIATIONS, decay: float = DECAY) -> Machine:
     """Learns labels.toxic from rows outside fold HELD of FOLDS, `bound` of them at most. Without labels it scores every text alike, below 0.5."""
     sample = labelled_sample(docs, labels, "toxic", fold_of(F.col("doc_id"), FOLDS) == HELD, bound)
-    counts = sample.select("text", "y").mapInArrow(_term_counts, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("n").alias("n")).filter("n >= 3")
+    counts = sample.select("text", "y").mapInArrow(released(_term_counts), "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("n").alias("n")).filter("n >= 3")
     total = sample.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = float(total.p or 0), float(total.n)
     have, want = F.col("a") / F.lit(max(p, 1.0)), (F.col("n") - F.col("a")) / F.lit(max(n - p, 1.0))
@@ -264,11 +265,15 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, max_terms
                 sizes = np.bincount(text, minlength=j - i)
                 yield pa.record_batch([batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(term.astype(np.int32)))], names=["y", "terms"])
 
-    rows = sample.orderBy("doc_id").select("text", "y").mapInArrow(found, "y int, terms array<int>").toArrow()
+    rows = sample.orderBy("doc_id").select("text", "y").mapInArrow(released(found), "y int, terms array<int>").toArrow()
     lists = rows.column("terms").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = np.diff(lists.offsets.to_numpy())
-    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.flatten().to_numpy(), rows.column("y").to_numpy().astype(float), terms, decay=decay)
+    sizes, term, y = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), rows.column("y").to_numpy().astype(float)
+    del rows, lists
+    machine = fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), term, y, terms, decay=decay)
+    del term
+    release()
+    return machine
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
@@ -297,7 +302,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
             s = np.concatenate(scores)
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, score double, predicted int")
 
 
 def choose_settings(docs: DataFrame, labels: DataFrame, candidates: tuple[tuple[float, float], ...], folds: int = 3, bound: int = TRAIN_ROWS) -> dict[tuple[float, float], tuple[float, float, float]]:
