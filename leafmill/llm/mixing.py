@@ -35,25 +35,39 @@ def _digits(text: Column, n: int = 6) -> Column:
     return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("double")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with their place `at`, from 0, by code point, null last. Tasks number ranges; where each range starts follows from the sizes of those before, a row for each task."""
+    key = F.col("source").asc_nulls_last()
+    own = sources.repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    part, starts, n = F.shiftright("at", 33), [], 0
+    for r in own.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts += [F.lit(r.part), F.lit(n)]
+        n += r.n
+    return own.withColumn("at", F.create_map(*starts)[part] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) if starts else own
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """sizes (source, source_size) with target: shares of the total by weight, capped at cap times the size, the excess shared again.
 
-    Sources in order of cap / weight: a source is capped if, with all before it capped, its share would exceed its cap.
-    The table has a row for each source, not for each document.
+    Each round is one aggregation over a row for each source: those whose share reaches their cap are capped, what they
+    leave is shared among the others, until no more are capped. A round either takes a third of the remaining weight or moves
+    the level by half as much as the one before, so rounds grow with the logarithm of the weights and sizes. Sums are
+    decimals of 38 digits. No rows give no rows.
     """
-    every = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
-    pick = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(every) - 1) % n + 1).cast("int"))
-    own = sizes.withColumn("weight", pick).withColumn("cap", F.col("source_size") * F.lit(cap))
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, behind = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = own.withColumn("left", F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("behind", F.sum("weight").over(behind))
-    own = own.withColumn("capped", F.col("cap") * F.col("behind") <= F.col("left") * F.col("weight"))
-    free = F.when(~F.col("capped"), F.struct(-F.col("behind"), "left", F.col("behind").alias("w")))
-    own = own.withColumn("level", F.min(free).over(whole))
-    shared = F.col("level.left").cast("double") * F.col("weight") / F.col("level.w")
-    return own.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
+    pick = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % n + 1).cast("int"))
+    own = _numbered(sizes).select("source", "source_size", pick.cast("decimal(20,0)").alias("weight"), (F.col("source_size").cast("decimal(19,0)") * F.lit(cap).cast("decimal(9,0)")).alias("cap")).checkpoint()
+    total = own.agg(F.sum(F.col("source_size").cast("decimal(19,0)")), F.sum("weight"), F.lit(0)).first()
+    left, free, met = int(total[0] or 0), int(total[1] or 0), 0
+    while True:
+        exact = lambda v: F.lit(str(v)).cast("decimal(38,0)")
+        capped = F.col("cap") * exact(free) <= exact(left) * F.col("weight")
+        taken, weight, now = own.filter(capped).agg(F.sum("cap"), F.sum("weight"), F.count("*")).first()
+        if now == met:
+            break
+        met, left, free = now, int((total[0] or 0) - (taken or 0)), int((total[1] or 0) - (weight or 0))
+    shared = F.lit(float(left)) * F.col("weight").cast("double") / F.lit(float(max(free, 1)))
+    return own.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -66,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     """
     prepare(docs.sparkSession)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(released(_word_counts), "doc_id long, source string, size long").checkpoint()
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).checkpoint()
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")).checkpoint(), weights, cap).checkpoint()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the id of a row in its sorted part, and each source's count in each part, make its rank in the source
     placed = sized.repartitionByRange(parts, "source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id").withColumn("at", F.monotonically_increasing_id()).checkpoint()

@@ -1,6 +1,7 @@
 """Mixing and URL rules: their SQL on odd tables, and what the contracts promise."""
 
 import random
+from fractions import Fraction
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import url_cascade as U
-from leafmill.llm.mixing import mix_sources
+from leafmill.llm.mixing import mix_sources, source_targets
 from leafmill.llm.queries import ORACLE, QUERIES
 from tests.llm.helpers import EDGES, clashing, docs, write
 from tests.oracle import same
@@ -44,6 +45,23 @@ def test_mixing_edges(spark):
     assert len(got) == 3 and all(r.taken == 0 and r.size == 0 for r in got)
 
 
+@pytest.mark.parametrize("kind", ["even", "spread", "doubling", "zeros"])
+def test_targets_of_many_sources(spark, kind):
+    """Against a plain fill from the smallest cap / weight up, in fractions; sources that double in size cap one after another."""
+    rng = random.Random(5)
+    size = {"even": lambda i: 100, "spread": lambda i: int(rng.paretovariate(0.5)), "doubling": lambda i: 2**i, "zeros": lambda i: 0}[kind]
+    rows = [(None if i == 0 else f"s{i:04d}", size(i)) for i in range(40 if kind == "doubling" else 400)]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {r[0]: i % 3 + 1 for i, r in enumerate(order)}
+    left, free, want = Fraction(sum(s for _, s in rows)), sum(weight.values()), {}
+    for name, s in sorted(rows, key=lambda r: Fraction(3 * r[1], weight[r[0]])):
+        want[name] = min(Fraction(3 * s), left * weight[name] / free)
+        left, free = left - want[name], free - weight[name]
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(rows, "source string, source_size long"), (1, 2, 3), 3).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(float(v), rel=1e-12) for k, v in want.items())
+    assert sum(got.values()) == pytest.approx(sum(s for _, s in rows))
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://COM/en/", "https://a.com/en/x", "https://example.com/en/7", "https://x.Example.COM/en/77?q#f", "ftp://example.com/en/6", "http://net/de/", "http://example.net/de/8", "http://example.net/de/9", "http://notexample.net/de/8", "http://o.org/es/#x",
     "http://o.org?/es/", "://org/es/a", "http://org./es/", "http://a..com/en/", "a://b://c.com/en/", "http://exam ple.com/en/7", "http://com/EN/", "http://org/es", "http://é.org/es/ü", "http://xcom/en/", "http://com\n/en/",
