@@ -29,6 +29,8 @@ from .attachments import Attachments
 from .files import Folder
 from .keyvalue import KeyValue
 
+#: The folder of the system documents; no database can have this name.
+SYSTEM = "_system"
 NAME = re.compile(r"_?[a-z0-9_-]{1,63}")
 _STAMP = T.StructType([T.StructField("wall", T.LongType()), T.StructField("logical", T.LongType())])
 _KINDS = {"doc_id": T.StringType(), "rev": T.StringType(), "parent": T.StringType(), "deleted": T.BooleanType(), "hlc": _STAMP, "body": T.StringType(), "again": T.BooleanType()}
@@ -46,28 +48,37 @@ def check_name(name: str) -> str:
 
 @dataclass
 class Databases:
-    """The databases below one folder."""
+    """The databases below one folder, and the system documents that they share: global, never replicated, in a folder of their own."""
 
     spark: SparkSession
     root: str
 
     def create(self, name: str) -> Store:
         folder = Folder(self.spark, self.root)
-        if folder.exists(check_name(name)):
+        if check_name(name) == SYSTEM:
+            raise QueryError("invalid_db_name", name)
+        if folder.exists(name):
             raise QueryError("already_exists", name)
         folder.make(name, "revs")
         return self.open(name)
 
     def open(self, name: str) -> Store:
-        if not Folder(self.spark, self.root).exists(check_name(name)):
+        if check_name(name) == SYSTEM or not Folder(self.spark, self.root).exists(name):
             raise QueryError("not_found", name)
         return Store(self.spark, f"{self.root.rstrip('/')}/{name}")
 
     def delete(self, name: str) -> None:
-        Folder(self.spark, self.root).delete(check_name(name))
+        if check_name(name) == SYSTEM:
+            raise QueryError("not_found", name)
+        Folder(self.spark, self.root).delete(name)
 
     def names(self) -> list[str]:
-        return Folder(self.spark, self.root).names()
+        return [n for n in Folder(self.spark, self.root).names() if n != SYSTEM]
+
+    @property
+    def system(self) -> KeyValue:
+        """System documents: put, get, delete, fold by prefix, and node_id, which is made once for all databases."""
+        return KeyValue(self.spark, f"{self.root.rstrip('/')}/{SYSTEM}")
 
 
 class Store:

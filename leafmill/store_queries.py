@@ -412,6 +412,56 @@ def metrics_and_timeouts(spark, sf_dir):
     return _rows(spark, [(int(m.export()["q"]["count"]), category)], "counted int, category string")
 
 
+@query("""
+  select 'doc_operations' as name, 'counter' as kind, 'put' as label, 3::bigint as n
+  union all select 'db_documents', 'gauge', '', count(*)::bigint from nation where n_regionkey = 2
+  union all select 'query_operations', 'counter', '', 2::bigint
+  union all select 'query_timeouts', 'counter', '', 1::bigint
+  union all select 'query_results', 'histogram', '', 1::bigint
+  union all select 'query_results', 'class 1', '', 0::bigint
+  union all select 'query_results', 'class 10', '', count(*)::bigint * 0 + 1 from nation where n_regionkey = 2 having count(*) <= 10
+  union all select 'replication_docs', 'counter', 'push', 7::bigint
+  union all select 'replication_errors', 'counter', '', 1::bigint
+  union all select 'replication_active', 'gauge', '', 0::bigint""")
+def metrics_measured(spark, sf_dir):
+    """Operations, queries, a query that takes too long, a run of a replication and one that fails."""
+    store, m = _store(spark), Metrics()
+    store.put_docs(_table(spark, sf_dir, "nation").filter("n_regionkey = 2").select(F.col("n_name").alias("id"), F.lit("{}").alias("body")))
+    for _ in range(3):
+        with m.doc_operation("a", "put"):
+            pass
+    m.database("a", store.info(), 0)
+    m.query(spark, "a", store.docs().select("id"), DataFrame.collect)
+    try:
+        m.query(spark, "a", spark.range(0, 10**13, 1, 2).filter("sqrt(id) < 0"), DataFrame.count, 0.5)
+    except QueryError:
+        pass
+    with m.replication("t") as done:
+        done({"docs_read": 7}, 0.5)
+    try:
+        with m.replication("t"):
+            raise QueryError("db_unreachable", "b")
+    except QueryError:
+        pass
+    rows = [(n, k, lab.get("operation") or lab.get("direction") or "", int(c)) for n, k, lab, c, _, _ in m.rows() if n not in ("query_seconds", "doc_operation_seconds", "db_bytes", "db_attachments", "replication_lag_seconds")]
+    rows += [(n, f"class {b}", "", c) for n, _, _, _, _, by in m.rows() if n == "query_results" for b, c in by.items() if b <= 10]
+    return _rows(spark, rows, "name string, kind string, label string, n long")
+
+
+@query("select 'r/' || r_regionkey as key, r_name as value, 2::bigint as databases from region where r_regionkey <> 1")
+def system_docs(spark, sf_dir):
+    """System documents that all databases share; one is deleted; a fold by prefix in order of the keys."""
+    _checkpoints(spark)
+    all_ = Databases(spark, f"{spark.sparkContext.getCheckpointDir()}/stores/{uuid.uuid4().hex}")
+    all_.create("a")
+    all_.system.put_all({f"r/{r.r_regionkey}": r.r_name for r in _table(spark, sf_dir, "region").collect()})
+    all_.create("b")
+    all_.system.delete("r/1")
+    all_.system.node_id()
+    found = all_.system.fold("r/", lambda k, v, acc: [*acc, (k, v, len(all_.names()))], [])
+    return _rows(spark, found, "key string, value string, databases long")
+
+
 # --- the relation of paths ---
 
 

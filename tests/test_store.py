@@ -246,6 +246,45 @@ def test_operations(spark):
     assert seen.get == {"n": 5, "top": 4} and m.export()["q"]["count"] == 1
 
 
+def test_metrics_by_labels():
+    m = Metrics()
+    m.inc("doc_operations", 3, db="a", operation="put")
+    m.inc("doc_operations", db='b"\n', operation="put")
+    for v in (0.02, 0.3, 99):
+        m.observe("query_seconds", v, db="a")
+    m.set("db_bytes", 7, db="a")
+    m.set("db_bytes", 5, db="a")
+    assert m.export()["doc_operations"]["count"] == 4 and m.export()["db_bytes"]["count"] == 5
+    text = m.export_text().splitlines()
+    assert 'doc_operations{db="a",operation="put"} 3' in text and r'doc_operations{db="b\"\n",operation="put"} 1' in text
+    assert [int(x.rsplit(" ", 1)[1]) for x in text if x.startswith("query_seconds_bucket")] == [0, 1, 1, 1, 2, 2, 2, 2, 2, 3]
+    assert 'query_seconds_count{db="a"} 3' in text and "# TYPE query_timeouts counter" in text
+    assert len([x for x in text if x.startswith("# TYPE")]) == 13
+    with pytest.raises(QueryError, match="invalid_metric"):
+        m.inc("db_bytes")
+
+
+def test_metrics_of_failures():
+    m = Metrics()
+    with pytest.raises(ValueError), m.doc_operation("a", "put"):
+        raise ValueError
+    with pytest.raises(ValueError), m.replication("t"):
+        raise ValueError
+    got = {n: c for n, _, _, c, _, _ in m.rows()}
+    assert got["doc_operations"] == got["doc_operation_seconds"] == got["replication_errors"] == 1 and got["replication_active"] == 0
+
+
+def test_system_documents_belong_to_all(spark, tmp_path):
+    d = Databases(spark, f"file://{tmp_path}/all")
+    d.create("a")
+    node = d.system.node_id()
+    assert Databases(spark, f"file://{tmp_path}/all").system.node_id() == node and d.names() == ["a"]
+    for act in (d.create, d.open, d.delete):
+        with pytest.raises(QueryError):
+            act("_system")
+    assert d.system.get("node_id") == node and d.open("a").local.get("node_id") is None
+
+
 def test_the_feed_carries_the_winner(store):
     """A losing branch moves its document to the end of the feed, with the revision that still wins."""
     rev = store.put({"id": "d0", "v": 1})
