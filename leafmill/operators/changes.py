@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,13 +145,12 @@ def has_since(log: DataFrame, since: Stamp) -> bool:
 
 
 def stream_changes(log: DataFrame, since: Stamp = FIRST, batch: int = 100, **filters) -> Iterator[list]:
-    """Pulls changes in batches until there are none; a caller may keep the last stamp and go on later."""
-    at = since
-    while True:
-        page = changes_page(log, at, batch, **filters)
-        rows = page.rows.collect()
-        if rows:
-            yield rows
-        at = page.last
-        if not page.has_more:
-            return
+    """Pulls changes in batches until there are none; a caller may keep the last stamp and go on later.
+
+    The log is read and sorted once, however many batches there are; one partition at a time is on the driver. Equal stamps may fall into two batches.
+    """
+    if batch < 1:
+        raise QueryError("invalid_clause", ("batch", batch))
+    rows = iter(changes(log, since, **filters).toLocalIterator())
+    while held := list(islice(rows, batch)):
+        yield held

@@ -386,3 +386,15 @@ def test_local_documents_compact_and_system_documents(store):
     assert store.local.get("a") == 1 and store.local.get("b") is None and store.local.fold("", lambda k, v, acc: [*acc, k], []) == ["a", "c"]
     store.system.put("a", "system")
     assert store.local.get("a") == 1 and store.system.get("a") == "system" and store.docs().isEmpty()
+
+
+def test_pulling_reads_the_log_once_and_loses_no_equal_stamps(spark, monkeypatch):
+    log = spark.range(7).selectExpr("id", "concat('1-', id) as rev", "false as deleted", "named_struct('wall', if(id < 2, id, 5L), 'logical', 0L) as hlc")
+    runs, plain = [], C.changes
+    monkeypatch.setattr(C, "changes", lambda *a, **k: runs.append(a) or plain(*a, **k))
+    got = list(C.stream_changes(log, batch=2))
+    assert [len(b) for b in got] == [2, 2, 2, 1] and sorted(r.id for b in got for r in b) == list(range(7))
+    assert [r.id for r in got[0]] == [0, 1] and len(runs) == 1
+    assert list(C.stream_changes(log.filter("id > 9"))) == []
+    with pytest.raises(QueryError, match="invalid_clause"):
+        next(C.stream_changes(log, batch=0))
