@@ -159,9 +159,16 @@ def get_many(docs: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
     return rows.select(id_col, "pos", *(F.col(f"`{c}`") for c in docs.columns if c != id_col), F.coalesce("found", F.lit(False)).alias("found")).orderBy("pos")
 
 
-def fold_docs(docs: DataFrame, fun: Callable, start, deleted: str | None = None):
-    """fun(row, accumulator) over all rows, one partition at a time on the driver; for distributed folds use an aggregation."""
+def fold_docs(docs: DataFrame, fun: Callable, start, deleted: str | None = None, combine: Callable | None = None):
+    """fun(row, accumulator) over all rows, one partition at a time on the driver.
+
+    With combine(accumulator, accumulator) the tasks fold their own rows, each from start, and no row reaches the driver. start must then add nothing, and
+    combine must not mind the order.
+    """
+    rows = docs.filter(~F.col(deleted)) if deleted else docs
+    if combine is not None:
+        return rows.rdd.treeAggregate(start, lambda acc, row: fun(row, acc), combine)
     acc = start
-    for row in (docs.filter(~F.col(deleted)) if deleted else docs).toLocalIterator():
+    for row in rows.toLocalIterator():
         acc = fun(row, acc)
     return acc

@@ -12,21 +12,24 @@ from ..functions.revs import rev_key
 from ..plans.conditions import QueryError
 
 
-def leaves(nodes: DataFrame) -> DataFrame:
-    """Nodes without a child: doc_id, rev, deleted. One pass: each node speaks for itself and for its parent, and these meet in one aggregation."""
-    both = nodes.select("doc_id", F.explode(F.array(F.struct(F.col("rev").alias("rev"), F.col("deleted").alias("deleted"), F.lit(False).alias("child")), F.struct(F.col("parent").alias("rev"), F.lit(None).cast("boolean").alias("deleted"), F.lit(True).alias("child")))).alias("n"))
-    met = both.filter("n.rev is not null").groupBy("doc_id", F.col("n.rev").alias("rev")).agg(F.max("n.child").alias("child"), F.max("n.deleted").alias("deleted"))
-    return met.filter("not child").select("doc_id", "rev", "deleted")
+def leaves(nodes: DataFrame, *more: str) -> DataFrame:
+    """Nodes without a child: doc_id, rev, deleted, and the largest value of the columns in more. One pass: each node speaks for itself and for its parent, and these meet in one aggregation."""
+    kinds = {c: nodes.schema[c].dataType for c in more}
+    own = F.struct(F.col("rev").alias("rev"), F.col("deleted").alias("deleted"), F.lit(False).alias("child"), *more)
+    above = F.struct(F.col("parent").alias("rev"), F.lit(None).cast("boolean").alias("deleted"), F.lit(True).alias("child"), *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
+    both = nodes.select("doc_id", F.explode(F.array(own, above)).alias("n"))
+    met = both.filter("n.rev is not null").groupBy("doc_id", F.col("n.rev").alias("rev")).agg(F.max("n.child").alias("child"), *(F.max(f"n.{c}").alias(c) for c in ("deleted", *more)))
+    return met.filter("not child").select("doc_id", "rev", "deleted", *more)
 
 
-def winners(nodes: DataFrame) -> DataFrame:
-    """(doc_id, rev, deleted) of the leaf with the highest generation, then the highest revision; a tombstone may win."""
-    return _best(leaves(nodes))
+def winners(nodes: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, rev, deleted, and the columns in more) of the leaf with the highest generation, then the highest revision; a tombstone may win."""
+    return _best(leaves(nodes, *more), *more)
 
 
-def _best(leaf: DataFrame) -> DataFrame:
-    best = leaf.groupBy("doc_id").agg(F.max_by(F.struct("rev", "deleted"), rev_key(F.col("rev"))).alias("w"))
-    return best.select("doc_id", "w.rev", "w.deleted")
+def _best(leaf: DataFrame, *more: str) -> DataFrame:
+    best = leaf.groupBy("doc_id").agg(F.max_by(F.struct("rev", "deleted", *more), rev_key(F.col("rev"))).alias("w"))
+    return best.select("doc_id", "w.rev", "w.deleted", *(f"w.{c}" for c in more))
 
 
 def conflicts(nodes: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from .operators import changes as C
 from .operators import paths as P
 from .operators import revtree
 from .operators.find import find
+from .operators.joins import by_key
 from .operators.operations import Metrics, with_timeout
 from .operators.replication import Task, Tasks, put_in_sync, replicate, replication_id
 from .plans.conditions import QueryError, matches, normalise
@@ -40,9 +41,9 @@ def _lived(spark: SparkSession, sf_dir: str) -> Store:
     store, docs = _store(spark), _customers(spark, sf_dir)
     store.put_docs(docs.select("id", "body"))
     now = store.entities().select("id", "rev")
-    moved = docs.filter("k % 3 = 0").join(now, "id").select("id", F.regexp_replace("body", r'"n":(\d+)', '"n":100$1').alias("body"), "rev")
+    moved = docs.filter("k % 3 = 0").join(by_key(now), "id").select("id", F.regexp_replace("body", r'"n":(\d+)', '"n":100$1').alias("body"), "rev")
     store.put_docs(moved)
-    store.put_docs(docs.filter("k % 5 = 0").join(store.entities().select("id", "rev"), "id").select("id", F.lit("{}").alias("body"), "rev", F.lit(True).alias("deleted")))
+    store.put_docs(docs.filter("k % 5 = 0").join(by_key(store.entities().select("id", "rev")), "id").select("id", F.lit("{}").alias("body"), "rev", F.lit(True).alias("deleted")))
     return store
 
 
@@ -91,7 +92,7 @@ def store_conflicts(spark, sf_dir):
     """Losing branches come in; the feed goes on to carry the winner, tells of conflicts and lists all leaves."""
     store, docs = _store(spark), _customers(spark, sf_dir).filter("k % 3 = 0")
     store.put_docs(docs.select("id", "body"))
-    store.put_docs(docs.join(store.entities().select("id", "rev"), "id").select("id", F.lit('{"n":1}').alias("body"), "rev"))
+    store.put_docs(docs.join(by_key(store.entities().select("id", "rev")), "id").select("id", F.lit('{"n":1}').alias("body"), "rev"))
     store.put_revs(docs.filter("k % 4 = 0").select(F.col("id").alias("doc_id"), F.lit("1-0").alias("rev"), F.lit(None).cast("string").alias("parent"), F.lit(False).alias("deleted"), "body"))
     rows = C.changes(store.log(), style="all_docs", revs=store.revisions(), body="body")
     return rows.select("id", F.col("num_conflicts").cast("long").alias("num_conflicts"), F.size("changes").alias("leaves"), generation(F.col("rev")).alias("gen"))
@@ -131,7 +132,7 @@ def store_usage(spark, sf_dir):
 def store_fold(spark, sf_dir):
     import json
 
-    n, total = _lived(spark, sf_dir).fold(lambda r, acc: (acc[0] + 1, acc[1] + json.loads(r.json)["n"]), (0, 0))
+    n, total = _lived(spark, sf_dir).fold(lambda r, acc: (acc[0] + 1, acc[1] + json.loads(r.json)["n"]), (0, 0), combine=lambda a, b: (a[0] + b[0], a[1] + b[1]))
     return _rows(spark, [(n, total)], "n long, total long")
 
 
@@ -193,7 +194,7 @@ def rep_checkpoints(spark, sf_dir):
     a.put_docs(docs.select("id", "body"))
     for run in range(3):
         if run == 1:
-            a.put_docs(docs.filter("k % 3 = 0").join(a.entities().select("id", "rev"), "id").select("id", F.lit("{}").alias("body"), "rev"))
+            a.put_docs(docs.filter("k % 3 = 0").join(by_key(a.entities().select("id", "rev")), "id").select("id", F.lit("{}").alias("body"), "rev"))
         got = replicate(a, b, "r")
         stats.append((run, got["docs_read"], got["revs_written"]))
     return _rows(spark, stats, "run int, docs_read long, revs_written long")

@@ -1,6 +1,7 @@
 """The store: writes with revision checks, conflicts, snapshots, changes, attachments, local documents, replication and live subscriptions."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -398,3 +399,36 @@ def test_pulling_reads_the_log_once_and_loses_no_equal_stamps(spark, monkeypatch
     assert list(C.stream_changes(log.filter("id > 9"))) == []
     with pytest.raises(QueryError, match="invalid_clause"):
         next(C.stream_changes(log, batch=0))
+
+
+def broadcasts(spark, run):
+    """How many of the executions of run broadcast a table."""
+    bus, seen = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = {seen.executionsList().apply(i).executionId() for i in range(seen.executionsList().size())}
+    run()
+    bus.waitUntilEmpty()
+    all_ = [seen.executionsList().apply(i) for i in range(seen.executionsList().size())]
+    new = [x.physicalPlanDescription() for x in all_ if x.executionId() not in before]
+    assert new
+    return sum("BroadcastExchange" in x for x in new)
+
+
+def many(spark, n=600):
+    return spark.range(n).selectExpr("cast(id as string) as id", "concat('{\"n\":', id, '}') as body")
+
+
+def test_writes_and_folds_send_no_table_to_the_driver(spark, store):
+    store.put_docs(many(spark))
+    moved = store.entities().selectExpr("id", "'{}' as body", "rev").filter("cast(id as int) >= 50")
+    assert broadcasts(spark, lambda: store.put_docs(moved)) == 0
+    assert sorted(store.entities().groupBy(F.substring("rev", 1, 1).alias("g")).count().collect()) == [("1", 50), ("2", 550)]
+    by_row = store.fold(lambda r, acc: acc + json.loads(r.json).get("n", 0), 0)
+    n, total, where = store.fold(lambda r, acc: (acc[0] + 1, acc[1] + json.loads(r.json).get("n", 0), acc[2] | {os.getpid()}), (0, 0, frozenset()), combine=lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] | b[2]))
+    assert (n, total) == (600, by_row) == (600, sum(range(50))) and os.getpid() not in where
+
+    assert store.fold(lambda r, acc: acc + 1, 0, combine=lambda a, b: a + b) == 600
+
+
+def test_a_fold_by_tasks_over_nothing(store):
+    assert store.fold(lambda r, acc: acc + 1, 0, combine=lambda a, b: a + b) == 0
