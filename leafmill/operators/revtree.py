@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.revs import rev_key
 from ..plans.conditions import QueryError
+from .joins import by_key
 
 
 def leaves(nodes: DataFrame, *more: str) -> DataFrame:
@@ -71,19 +72,19 @@ def prune(nodes: DataFrame, depth: int) -> DataFrame:
     if depth < 1:
         raise QueryError("invalid_depth", depth)
     own = nodes.select("doc_id", "rev", "parent")
-    jump = own.join(own.select("doc_id", F.col("rev").alias("parent")), ["doc_id", "parent"], "left_semi").select("doc_id", "rev", F.col("parent").alias("up")).checkpoint()
+    jump = own.join(by_key(own.select("doc_id", F.col("rev").alias("parent"))), ["doc_id", "parent"], "left_semi").select("doc_id", "rev", F.col("parent").alias("up")).checkpoint()
     near = leaves(nodes).select("doc_id", "rev", F.lit(0).alias("dist")).checkpoint()
     step = 1
     while step < depth and not jump.isEmpty():
-        more = near.join(jump, ["doc_id", "rev"]).select("doc_id", F.col("up").alias("rev"), (F.col("dist") + step).alias("dist")).filter(F.col("dist") < depth)
+        more = near.join(by_key(jump), ["doc_id", "rev"]).select("doc_id", F.col("up").alias("rev"), (F.col("dist") + step).alias("dist")).filter(F.col("dist") < depth)
         near = near.unionByName(more).groupBy("doc_id", "rev").agg(F.min("dist").alias("dist")).checkpoint()
         step *= 2
         if step < depth:
-            jump = jump.join(jump.select("doc_id", F.col("rev").alias("up"), F.col("up").alias("top")), ["doc_id", "up"]).select("doc_id", "rev", F.col("top").alias("up")).checkpoint()
+            jump = jump.join(by_key(jump.select("doc_id", F.col("rev").alias("up"), F.col("up").alias("top"))), ["doc_id", "up"]).select("doc_id", "rev", F.col("top").alias("up")).checkpoint()
     keep = near.select("doc_id", "rev")
-    kept = nodes.join(keep, ["doc_id", "rev"], "left_semi")
+    kept = nodes.join(by_key(keep), ["doc_id", "rev"], "left_semi")
     there = keep.select("doc_id", F.col("rev").alias("parent"), F.lit(True).alias("there"))
-    return kept.join(there, ["doc_id", "parent"], "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there").select(nodes.columns)
+    return kept.join(by_key(there), ["doc_id", "parent"], "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there").select(nodes.columns)
 
 
 def revs_diff(source: DataFrame, target: DataFrame) -> DataFrame:

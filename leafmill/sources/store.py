@@ -306,7 +306,7 @@ class Store:
         kept = revtree.prune(one, depth).checkpoint()
         leaf = revtree.leaves(kept).select("doc_id", "rev", F.lit(True).alias("leaf"))
         last = kept.groupBy("doc_id").agg(F.max("hlc").alias("last"))
-        slim = kept.join(leaf, ["doc_id", "rev"], "left").join(last, "doc_id").select("doc_id", "rev", "parent", "deleted", F.when(F.col("hlc") == F.col("last"), F.col("hlc")).alias("hlc"), F.when(F.col("leaf"), F.col("body")).alias("body"), F.lit(False).alias("again"))
+        slim = kept.join(by_key(leaf), ["doc_id", "rev"], "left").join(by_key(last), "doc_id").select("doc_id", "rev", "parent", "deleted", F.when(F.col("hlc") == F.col("last"), F.col("hlc")).alias("hlc"), F.when(F.col("leaf"), F.col("body")).alias("body"), F.lit(False).alias("again"))
         number, old = self.snapshot(), self.folder.names("revs")
         name = f"base={number:012d}"
         if not number or name in old:  # nothing came in since the last one

@@ -114,7 +114,7 @@ def store_compact(spark, sf_dir):
     store = _lived(spark, sf_dir)
     store.compact(1)
     revs = store.revisions().groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("revs"))
-    return C.changed(store.log(), body="body").select("id", generation(F.col("rev")).alias("gen"), "deleted").join(revs, "id")
+    return C.changed(store.log(), body="body").select("id", generation(F.col("rev")).alias("gen"), "deleted").join(by_key(revs), "id")
 
 
 @query(f"select p.pos::int as pos, p.id, c.n, c.n is not null as found from (values (0, '3'), (1, '5'), (2, 'none'), (3, '1')) p(pos, id) left join (select c_custkey::varchar as id, {_N} as n from customer where c_custkey % 5 <> 0) c on c.id = p.id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.hlc import FIRST
 from leafmill.functions.revs import make_rev
 from leafmill.operators import changes as C
+from leafmill.operators import revtree
 from leafmill.operators.operations import Metrics, observed, with_timeout
 from leafmill.operators.replication import Task, Tasks, arrived, put_in_sync, replicate, replication_id, wait_for
 from leafmill.plans.conditions import QueryError
@@ -432,3 +433,12 @@ def test_writes_and_folds_send_no_table_to_the_driver(spark, store):
 
 def test_a_fold_by_tasks_over_nothing(store):
     assert store.fold(lambda r, acc: acc + 1, 0, combine=lambda a, b: a + b) == 0
+
+
+def test_compaction_and_pruning_send_no_table_to_the_driver(spark, store):
+    store.put_docs(many(spark, 300))
+    store.put_docs(store.entities().selectExpr("id", "'{}' as body", "rev").filter("cast(id as int) >= 50"))
+    assert broadcasts(spark, lambda: revtree.prune(store.revisions(), 3).collect()) == 0
+    assert broadcasts(spark, lambda: store.compact(1)) == 0
+    rows = store.revisions().collect()
+    assert len(rows) == 300 and sum(r.rev.startswith("2-") for r in rows) == 250 and all(r.parent is None and r.body and r.hlc for r in rows)
