@@ -73,7 +73,7 @@ def store_snapshot(spark, sf_dir):
 def store_find(spark, sf_dir):
     store = _lived(spark, sf_dir)
     ids = store.find({"where": ("compare", ["n"], ">", 10), "include_docs": False}).select("id")
-    return _shown(store.docs().join(ids, "id", "left_semi"))
+    return _shown(store.docs().join(by_key(ids), "id", "left_semi"))
 
 
 @query(

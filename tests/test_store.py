@@ -13,6 +13,7 @@ from leafmill.operators import revtree
 from leafmill.operators.operations import Metrics, observed, with_timeout
 from leafmill.operators.replication import Task, Tasks, arrived, put_in_sync, replicate, replication_id, wait_for
 from leafmill.plans.conditions import QueryError
+from leafmill.queries import QUERIES
 from leafmill.sources.store import Databases, Store
 from leafmill.streaming.feed import Subscriptions, query_patterns
 from leafmill.streaming.replication import follow
@@ -442,3 +443,8 @@ def test_compaction_and_pruning_send_no_table_to_the_driver(spark, store):
     assert broadcasts(spark, lambda: store.compact(1)) == 0
     rows = store.revisions().collect()
     assert len(rows) == 300 and sum(r.rev.startswith("2-") for r in rows) == 250 and all(r.parent is None and r.body and r.hlc for r in rows)
+
+
+@pytest.mark.parametrize("name", ["store_find"])
+def test_whole_stores_send_no_table_to_the_driver(spark, name):
+    assert broadcasts(spark, lambda: QUERIES[name](spark, "/root/testdata/sf0.001").collect()) == 0
