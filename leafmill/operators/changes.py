@@ -19,6 +19,7 @@ from ..functions.hlc import FIRST, Stamp, encoded, literal
 from ..functions.topics import body_matches
 from ..plans.conditions import QueryError, normalise
 from . import revtree
+from .joins import by_key
 from .predicate import Typed, Variant, to_column
 
 META = ("id", "rev", "deleted", "hlc")
@@ -86,7 +87,7 @@ def changes(log: DataFrame, since: Stamp = FIRST, doc_ids=None, paths: list[str]
     rows = changed(log, since, doc_ids, paths, query, include_docs, body).withColumn("changes", F.array("rev"))
     if revs is not None:
         leaf = revtree.leaves(revs).groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set("rev"), asc=False).alias("leaf_revs"), F.sum((~F.col("deleted")).cast("long")).alias("live"))
-        rows = rows.join(leaf, "id", "left").withColumn("num_conflicts", F.greatest(F.lit(0), F.coalesce("live", F.lit(1)) - (~F.col("deleted")).cast("long"))).drop("live")
+        rows = rows.join(by_key(leaf), "id", "left").withColumn("num_conflicts", F.greatest(F.lit(0), F.coalesce("live", F.lit(1)) - (~F.col("deleted")).cast("long"))).drop("live")
         if style == "all_docs":
             rows = rows.withColumn("changes", F.coalesce("leaf_revs", "changes"))
         rows = rows.drop("leaf_revs")

@@ -15,6 +15,7 @@ from ..functions.hlc import FIRST, Stamp
 from ..plans.conditions import QueryError
 from . import changes as C
 from . import revtree
+from .joins import by_key
 
 HISTORY = 20
 
@@ -59,8 +60,8 @@ def replicate(source: Side, target: Side, rep_id: str, paths: list[str] | None =
     last = C.last_seq(log).first().hlc
     end = since if last is None else max(since, Stamp(last.wall, last.logical))
     changed = C.changed(log, since, paths=paths, query=query, body="body").select(F.col("id").alias("doc_id")).checkpoint()
-    wanted = source.revisions().select("doc_id", "rev", "parent", "deleted", "body").join(changed, "doc_id", "left_semi")
-    missing = wanted.join(target.revisions().select("doc_id", "rev").distinct(), ["doc_id", "rev"], "left_anti").checkpoint()
+    wanted = source.revisions().select("doc_id", "rev", "parent", "deleted", "body").join(by_key(changed), "doc_id", "left_semi")
+    missing = wanted.join(by_key(target.revisions().select("doc_id", "rev").distinct()), ["doc_id", "rev"], "left_anti").checkpoint()
     n_docs, n_revs = changed.count(), missing.count()
     if n_revs:
         target.put_revs(missing)

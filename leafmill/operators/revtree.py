@@ -37,12 +37,12 @@ def conflicts(nodes: DataFrame) -> DataFrame:
     """(doc_id, rev) of leaves that are neither deleted nor the winner. Leaves are worked out once: Spark reuses their exchange."""
     leaf = leaves(nodes)
     won = _best(leaf).select("doc_id", F.col("rev").alias("won"))
-    return leaf.join(won, "doc_id").filter(~F.col("deleted") & (F.col("rev") != F.col("won"))).select("doc_id", "rev")
+    return leaf.join(by_key(won), "doc_id").filter(~F.col("deleted") & (F.col("rev") != F.col("won"))).select("doc_id", "rev")
 
 
 def contains(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of wanted (doc_id, rev), those that the trees hold."""
-    return wanted.join(nodes.select("doc_id", "rev"), ["doc_id", "rev"], "left_semi")
+    return wanted.join(by_key(nodes.select("doc_id", "rev")), ["doc_id", "rev"], "left_semi")
 
 
 def history(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:

@@ -255,13 +255,13 @@ class Store:
         """
         new = rows.groupBy("doc_id", "rev").agg(F.max("parent").alias("parent"), F.max("deleted").alias("deleted"), F.max("body").alias("body")).checkpoint()
         old = self._of(new, "doc_id").select("doc_id", "rev", "parent", "deleted", "body")
-        new = new.join(old.select("doc_id", "rev"), ["doc_id", "rev"], "left_anti").withColumn("new", F.lit(True))
+        new = new.join(by_key(old.select("doc_id", "rev")), ["doc_id", "rev"], "left_anti").withColumn("new", F.lit(True))
         # documents that only bring what the store has are no change
         touched = new.select("doc_id").distinct()
-        tree = new.unionByName(old.join(touched, "doc_id", "left_semi").withColumn("new", F.lit(False))).checkpoint()
+        tree = new.unionByName(old.join(by_key(touched), "doc_id", "left_semi").withColumn("new", F.lit(False))).checkpoint()
         won = revtree.winners(tree).select("doc_id", F.col("rev").alias("won"))
         current = F.col("rev") == F.col("won")
-        entered = tree.join(won, "doc_id").filter(F.col("new") | current)
+        entered = tree.join(by_key(won), "doc_id").filter(F.col("new") | current)
         return self._commit(entered.select("doc_id", "rev", "parent", "deleted", "body", current.alias("current"), (~F.col("new")).alias("again")))
 
     def put_rev(self, doc_id: str, body: str, history: list[str], deleted: bool = False) -> None:

@@ -172,7 +172,7 @@ def rep_target_feed(spark, sf_dir):
     a, b = _lived(spark, sf_dir), _store(spark)
     replicate(a, b, replication_id("a", "b"))
     feed = lambda s: C.changed(s.log(), body="body").select("id", "rev", "deleted")
-    wrong = feed(a).join(feed(b), ["id", "rev"], "left_anti").count()
+    wrong = feed(a).join(by_key(feed(b)), ["id", "rev"], "left_anti").count()
     return feed(b).select("id", generation(F.col("rev")).alias("gen"), "deleted", F.lit(wrong).cast("long").alias("wrong"))
 
 
@@ -184,7 +184,7 @@ def replicate_filtered(spark, sf_dir):
     a.put_docs(orders.select("id", "body"))
     b.put_docs(orders.filter("o_orderpriority = '5-LOW'").select("id", "body"))
     replicate(a, b, "filtered", ["o_orderstatus/F"], [("compare", ["o_totalprice"], ">", 200000)])
-    return b.docs().select("id").join(b.docs(as_of=1).select("id"), "id", "left_anti")
+    return b.docs().select("id").join(by_key(b.docs(as_of=1).select("id")), "id", "left_anti")
 
 
 @query("select 0::int as run, count(*) as docs_read, count(*) as revs_written from customer union all select 1, count(*), count(*) from customer where c_custkey % 3 = 0 union all select 2, 0, 0")

@@ -445,6 +445,6 @@ def test_compaction_and_pruning_send_no_table_to_the_driver(spark, store):
     assert len(rows) == 300 and sum(r.rev.startswith("2-") for r in rows) == 250 and all(r.parent is None and r.body and r.hlc for r in rows)
 
 
-@pytest.mark.parametrize("name", ["store_find"])
+@pytest.mark.parametrize("name", ["store_find", "rep_target_feed", "store_conflicts"])
 def test_whole_stores_send_no_table_to_the_driver(spark, name):
     assert broadcasts(spark, lambda: QUERIES[name](spark, "/root/testdata/sf0.001").collect()) == 0
